@@ -12,6 +12,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.packing import chunks
+from lurescope.llm.chunked import Cache, ChunkedEncoder
 from lurescope.llm.textops import map_rows
 
-#: Known words and chunks after which a worker starts anew; memory that its DuckDB may use.
-CACHE_ENTRIES, DUCKDB_MEMORY = 400_000, "400MB"
+#: Memory that a worker's DuckDB may use.
+DUCKDB_MEMORY = "400MB"
 #: A query holds words of so many bytes together. The recursion keeps a row for each token and step, which for a word
 #: grows with the square of its length; longer words than LONG_WORD bytes are contracted by a heap instead.
 LONG_WORD, QUERY_BYTES = 512, 2 << 20
@@ -99,8 +100,7 @@ class Codec:
 
         self.ranks = ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunked = Cache(), ChunkedEncoder(self._learn)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY})
         merges = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._table("merges", pair=[(m[0] << 24) + m[1] for m in merges], merged=[m[2] for m in merges])
@@ -116,22 +116,13 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.chunks) > CACHE_ENTRIES or len(self.words) > CACHE_ENTRIES:
-            self.chunks.clear()
-            self.words.clear()
-        known = self.chunks
-        cut = [chunks(t) for t in texts]
-        new = {c: self.pattern.findall(c) for text in cut for c in text if c not in known}
-        self._learn({w for found in new.values() for w in found})
-        for chunk, found in new.items():
-            known[chunk] = b"".join([self.words[w] for w in found])
-        return [b"".join([known[c] for c in text]) for text in cut]
-
-    def _learn(self, found: set[str]) -> None:
+        return self.chunked.encode(texts)
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        self.words.turn()
+        found = [self.pattern.findall(c) for c in new]
         batch, size = [], 0
-        for word in found:
-            if word in self.words:
-                continue
+        for word in self.words.missing(set(chain.from_iterable(found))):
             raw = word.encode("utf-8", "surrogatepass")
             if (rank := self.ranks.get(raw)) is not None:
                 self.words[word] = rank.to_bytes(4, "little")
@@ -145,6 +136,7 @@ class Codec:
             batch.append((word, raw))
             size += len(raw)
         self._contract(batch)
+        return [b"".join([self.words[w] for w in parts]) for parts in found]
 
     def _contract(self, batch: list[tuple[str, bytes]]) -> None:
         if not batch:
