@@ -5,10 +5,10 @@ candidates, and the lowest ``BITS`` bits of each minimum, packed into words, est
 from the number of equal fields, corrected for fields that agree by chance. Pairs whose estimate is well below the
 threshold go; all others are confirmed on the full sets of shingles, as 64-bit hashes.
 
-No bucket's pairs are emitted. In a few rounds each member of a bucket is compared with one pivot of it, and classes
-linked so far are tied together. What remains are buckets whose members are still in several components; those are gone
-through in blocks of ``BLOCK`` members by comparing packed signatures in place, and only pairs from different components
-whose estimate passes come out. Each pair that shares a band is so either tied, or rejected, or confirmed: nothing is
+No bucket's pairs are emitted. First each member of a bucket is compared with one pivot of it, the member that shares
+most with others, and classes linked so are tied together. What remains are buckets whose members are still in several
+components; those are gone through in blocks of ``BLOCK`` members, where signatures and then full sets are compared in
+place and only links come out. Each pair that shares a band is so either tied, or rejected, or confirmed: nothing is
 capped.
 """
 
@@ -32,7 +32,7 @@ WORDS = HASHES * BITS // 64
 #: Standard deviations of the estimate that a pair may be below the threshold and still be confirmed on the sets.
 SLACK = 5.0
 #: Rounds with pivots; members of a block in the last pass.
-ROUNDS, BLOCK = 3, 1500
+ROUNDS, BLOCK = 1, 1000
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1)
@@ -139,27 +139,22 @@ def _components(docs: DataFrame, full: DataFrame, key: str, text: str, shingle:
     least = least_equal(percent / 100)
     entries = full.select("node", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = staged(entries.join(shared, "bucket"), "buckets")
+    buckets = entries.join(shared, "bucket")
+    # A text at the centre of a group shares more buckets, and larger ones, with its members than they do among themselves.
+    weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    buckets = staged(buckets.join(weight, "node"), "buckets")
     sets = _sets(docs, full, buckets.select("node").distinct(), key, text, shingle)
     packs = full.select("node", "packed")
-    links = tried = None
+    links = None
     labels = spark.createDataFrame([], "node long, component long")
-    for step in range(ROUNDS + 1):
-        open_buckets = buckets if step == 0 else _open(buckets, labels)
-        if step < ROUNDS:
-            pairs = _pivots(open_buckets, step)
-        else:
-            pairs = _blocks(open_buckets, packs, least)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = _estimated(pairs, packs, least)
-        new = staged(_confirmed(pairs, sets, percent), "links")
-        tried = new.select("a", "b") if tried is None else tried.unionByName(new.select("a", "b"))
-        good = new.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    for step in range(ROUNDS):
+        pairs = _estimated(_pivots(_open(buckets, labels) if step else buckets, step), packs, least)
+        good = staged(_confirmed(pairs, sets, percent).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
         links = good if links is None else links.unionByName(good)
         labels = staged(connected_components(links), "labels")
-        if step < ROUNDS and _open(buckets, labels).limit(1).count() == 0:
-            break
+    rest = staged(_block_links(_open(buckets, labels), full.select("node", "bands", "packed", "n_shingles"), sets, least, percent), "links")
+    if rest.limit(1).count():
+        labels = connected_components(links.unionByName(rest))
     return labels
 
 
@@ -172,20 +167,20 @@ def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _pivots(buckets: DataFrame, step: int) -> DataFrame:
     """(a, b): each member of a bucket with the bucket's pivot, another one in each step. Members tied to it already are left out."""
-    rank = mixed_column("node", step)
+    rank = _rank(step)
     pivot = buckets.groupBy("bucket").agg(F.min(rank).alias("least"))
     marked = buckets.withColumn("rank", rank).join(pivot, "bucket")
     tied = ["component"] if "component" in buckets.columns else []
-    chosen = marked.where("rank = least").select("bucket", F.col("node").alias("pivot"), *[F.col(c).alias("pivot_component") for c in tied])
+    chosen = marked.where("rank = least").groupBy("bucket").agg(F.min("node").alias("pivot"), *[F.min_by(c, "node").alias("pivot_component") for c in tied])
     pairs = marked.join(chosen, "bucket").where("node <> pivot")
     if tied:
         pairs = pairs.where("component <> pivot_component")
     return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def mixed_column(name: str, step: int) -> Column:
-    """An order of the nodes: their own one first, then one by a hash that is different in each step."""
-    return F.col(name) if step == 0 else F.xxhash64(F.lit(step), F.col(name))
+def _rank(step: int) -> Column:
+    """The order that pivots are chosen by: first those of the greatest weight, then by a hash that is another one in each step."""
+    return -F.col("weight") if step == 0 else F.xxhash64(F.lit(step), F.col("node"))
 
 
 def _estimated(pairs: DataFrame, packs: DataFrame, least: int) -> DataFrame:
@@ -229,43 +224,99 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", (100 * both >= percent * union).alias("linked"))
 
 
-def _blocks(buckets: DataFrame, packs: DataFrame, least: int) -> DataFrame:
-    """(a, b): pairs of a bucket from different components whose estimate passes, found in blocks of members."""
+def _block_links(buckets: DataFrame, marks: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+    """(src, dst): linked pairs of members of a bucket that are in different components.
+
+    A bucket's members are dealt to blocks of about BLOCK, and each pair of blocks is a task's group. The first pass
+    compares signatures and gives back the members that have a partner there; only for those the sets are fetched, and
+    the second pass confirms. Neither emits pairs that aren't links.
+    """
     parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    tasks = buckets.join(packs, "node").select("bucket", "node", "component", "packed", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    tasks = tasks.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "component", "packed")
-    dealt = tasks.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "mine")
+    tasks = buckets.select("bucket", "node", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    tasks = tasks.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "component")
+    marked = tasks.join(marks, "node")
+    schema = "bucket long, lo int, hi int, mine int, node long, component long, bands array<long>, packed array<long>, n_shingles long"
+    partnered = map_rows(_dealt(marked, 0), schema, _groups(lambda members: _partnered(members, least, percent)), 2000)
+    linked = map_rows(_dealt(partnered.join(sets, "node"), 1), "src long, dst long", _groups(lambda members: _linked(members, least, percent)), 50_000)
+    return linked.distinct()
 
-    def work(rows: Iterator[dict]) -> Iterator[dict]:
+
+def _dealt(rows: DataFrame, salt: int) -> DataFrame:
+    group = F.xxhash64(F.lit(salt), "bucket", "lo", "hi")
+    return rows.withColumn("_group", group).repartition("_group").sortWithinPartitions("bucket", "lo", "hi", "node").drop("_group")
+
+
+def _groups(work):
+    """work over the rows of each block pair, which a partition has in order."""
+
+    def run(rows: Iterator[dict]) -> Iterator[dict]:
         now, members = None, []
         for row in rows:
             group = (row["bucket"], row["lo"], row["hi"])
             if group != now:
-                yield from pairs(members, now)
+                if len(members) > 1:
+                    yield from work(members)
                 now, members = group, []
             members.append(row)
-        yield from pairs(members, now)
-
-    def pairs(members: list[dict], group) -> Iterator[dict]:
-        if len(members) < 2:
-            return
-        sig = np.array([m["packed"] for m in members], np.int64).view(np.uint64)
-        part = np.array([m["component"] for m in members])
-        mine = np.array([m["mine"] for m in members])
-        node = np.array([m["node"] for m in members])
-        for i in range(len(members) - 1):
-            others = slice(i + 1, len(members))
-            x = sig[i] ^ sig[others]
+        if len(members) > 1:
+            yield from work(members)
+
+    return run
+
+
+def _plausible(members: list[dict], least: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): later members js that i may be linked with, in a block pair of one bucket.
+
+    They are in different components, their sizes and signatures allow a link, and this bucket is the first that they
+    share, so that each pair comes once.
+    """
+    sig = np.array([m["packed"] for m in members], np.int64).view(np.uint64)
+    bands = np.array([m["bands"] for m in members], np.int64)
+    part = np.array([m["component"] for m in members])
+    mine = np.array([m["mine"] for m in members])
+    size = np.array([m["n_shingles"] for m in members])
+    here = int((bands[0] == members[0]["bucket"]).argmax())
+    apart = members[0]["lo"] != members[0]["hi"]
+    for i in range(len(members) - 1):
+        later = slice(i + 1, len(members))
+        good = (part[later] != part[i]) & (100 * np.minimum(size[later], size[i]) >= percent * np.maximum(size[later], size[i]))
+        if apart:
+            good &= mine[later] != mine[i]
+        js = np.flatnonzero(good) + i + 1
+        if len(js):
+            x = sig[i] ^ sig[js]
             differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_EVEN)).sum(axis=1)
-            good = (HASHES - differ >= least) & (part[others] != part[i])
-            if group[1] != group[2]:
-                good &= mine[others] != mine[i]
-            for j in np.flatnonzero(good):
-                a, b = int(node[i]), int(node[i + 1 + j])
-                yield {"a": min(a, b), "b": max(a, b)}
-
-    return map_rows(dealt, "a long, b long", work, 50_000).distinct()
+            js = js[HASHES - differ >= least]
+        if len(js):
+            js = js[(bands[js] == bands[i]).argmax(axis=1) == here]
+        if len(js):
+            yield i, js
+
+
+def _partnered(members: list[dict], least: int, percent: int) -> Iterator[dict]:
+    found = np.zeros(len(members), bool)
+    for i, js in _plausible(members, least, percent):
+        found[i] = True
+        found[js] = True
+    for i in np.flatnonzero(found):
+        yield members[i]
+
+
+def _linked(members: list[dict], least: int, percent: int) -> Iterator[dict]:
+    sets = [np.array(m["shingles"], np.int64) for m in members]
+    flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    _, numbers = np.unique(flat, return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    mark = np.zeros(len(flat) + 1, bool)
+    for i, js in _plausible(members, least, percent):
+        own = numbers[starts[i] : starts[i + 1]]
+        mark[own] = True
+        for j in js:
+            both = int(mark[numbers[starts[j] : starts[j + 1]]].sum())
+            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                yield {"src": members[i]["node"], "dst": members[j]["node"]}
+        mark[own] = False
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
