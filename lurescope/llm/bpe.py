@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from lurescope.llm.chunked import Cache, ChunkedEncoder
 from lurescope.llm.textops import map_rows
 
-#: Memory that a worker's DuckDB may use.
-DUCKDB_MEMORY = "400MB"
+#: Memory that a worker's DuckDB may use, and characters of texts that it is given together.
+DUCKDB_MEMORY, BATCH_CHARS = "400MB", 3 << 20
 #: A query holds words of so many bytes together. The recursion keeps a row for each token and step, which for a word
 #: grows with the square of its length; longer words than LONG_WORD bytes are contracted by a heap instead.
 LONG_WORD, QUERY_BYTES = 512, 2 << 20
@@ -47,9 +47,9 @@ WITH RECURSIVE state(word, place, id, step) AS (
    SELECT s.word, CASE WHEN s.place > c.spot THEN s.place - 1 ELSE s.place END,
           CASE WHEN s.place = c.spot THEN c.merged ELSE s.id END, s.step + 1
    FROM state s JOIN chosen c ON s.word = c.word WHERE s.place <> c.spot + 1))
-SELECT word, list(id ORDER BY place) AS ids
+SELECT word, id
 FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
-GROUP BY word
+ORDER BY place
 """
 
 DECODE = """
@@ -92,14 +92,25 @@ def contract_long(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _letters(chunk: str) -> list[str] | None:
+    """The matches of public_tokenizers.PATTERN in a chunk of letters, or of letters and one comma or full stop; else None."""
+    body = chunk.removeprefix(" ")
+    if body.isalpha():
+        return [chunk]
+    if body[:-1].isalpha() and body[-1] in ",.":
+        return [chunk[:-1], chunk[-1]]
+    return None
+
+
 class Codec:
     """Encoder and decoder of one worker."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
+        import public_tokenizers
 
         self.ranks = ranks = load_ranks(path)
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.by_letters = regex.compile(pattern), pattern == public_tokenizers.PATTERN
         self.words, self.chunked = Cache(), ChunkedEncoder(self._learn)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY})
         merges = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -120,23 +131,24 @@ class Codec:
 
     def _learn(self, new: list[str]) -> list[bytes]:
         self.words.turn()
-        found = [self.pattern.findall(c) for c in new]
+        found = [_letters(c) or self.pattern.findall(c) for c in new] if self.by_letters else list(map(self.pattern.findall, new))
+        words = self.words.missing(set(chain.from_iterable(found)))
+        raws = [w.encode("utf-8", "surrogatepass") for w in words]
         batch, size = [], 0
-        for word in self.words.missing(set(chain.from_iterable(found))):
-            raw = word.encode("utf-8", "surrogatepass")
-            if (rank := self.ranks.get(raw)) is not None:
+        for word, raw, rank in zip(words, raws, map(self.ranks.get, raws)):
+            if rank is not None:
                 self.words[word] = rank.to_bytes(4, "little")
-                continue
-            if len(raw) > LONG_WORD:
+            elif len(raw) > LONG_WORD:
                 self.words[word] = np.array(contract_long(raw, self.ranks), "<u4").tobytes()
-                continue
-            if batch and size + len(raw) > QUERY_BYTES:
-                self._contract(batch)
-                batch, size = [], 0
-            batch.append((word, raw))
-            size += len(raw)
+            else:
+                batch.append((word, raw))
+                size += len(raw)
+                if size > QUERY_BYTES:
+                    self._contract(batch)
+                    batch, size = [], 0
         self._contract(batch)
-        return [b"".join([self.words[w] for w in parts]) for parts in found]
+        one = self.words.__getitem__
+        return [one(parts[0]) if len(parts) == 1 else b"".join(map(one, parts)) for parts in found]
 
     def _contract(self, batch: list[tuple[str, bytes]]) -> None:
         if not batch:
@@ -146,8 +158,10 @@ class Codec:
         ids = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in batch), np.uint8)]
         word = np.repeat(np.arange(len(batch)), lengths)
         self._table("tokens", word=word, place=word * PLACES + np.arange(len(ids)) - starts, id=ids)
-        for word, out in self.db.execute(CONTRACT).fetchall():
-            self.words[batch[word][0]] = np.array(out, "<u4").tobytes()
+        found = self.db.execute(CONTRACT).fetchnumpy()
+        whole = np.asarray(found["id"]).astype("<u4").tobytes()
+        ends = np.searchsorted(np.asarray(found["word"]), np.arange(len(batch) + 1)).tolist()
+        self.words.update((word, whole[4 * a : 4 * b]) for (word, _), a, b in zip(batch, ends, ends[1:]))
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """The bytes that each list of ids stands for."""
@@ -184,7 +198,7 @@ def bpe(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", tex
         for row in rows:
             batch.append(row)
             held += len(row["t"] or "")
-            if held > 1 << 20 or len(batch) >= 1000:
+            if held > BATCH_CHARS or len(batch) >= 4000:
                 yield from done(batch)
                 batch, held = [], 0
         if batch:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from itertools import chain
 
 #: Entries of a generation; a cache holds two, and what wasn't used for a generation goes. This bounds memory, not results.
-GENERATION = 250_000
+GENERATION = 400_000
 
 
 class Cache(dict):
@@ -27,13 +27,10 @@ class Cache(dict):
 
     def missing(self, keys: set) -> list:
         """The keys that aren't kept; those of the older generation move to the younger."""
-        out = []
-        for key in keys - self.keys():
-            if key in self.old:
-                self[key] = self.old[key]
-            else:
-                out.append(key)
-        return out
+        new = keys - self.keys()
+        kept = new & self.old.keys()
+        self.update((k, self.old[k]) for k in kept)
+        return list(new - kept)
 
 
 class ChunkedEncoder:
@@ -49,8 +46,9 @@ class ChunkedEncoder:
         self.known.turn()
         split = [t.split(" ") for t in texts]
         rest = self.inner.missing(set(chain.from_iterable(s[1:] for s in split)))
-        good = [p for p in rest if _plain(p)]
-        self.inner.update(dict.fromkeys(rest))
+        good = [p for p in rest if p and p.strip() == p]
+        if len(good) < len(rest):
+            self.inner.update(dict.fromkeys(p for p in rest if not p or p.strip() != p))
         self.inner.update(zip(good, self.learn([" " + p for p in good])))
         heads = [s[0] for s in split]
         self._learn(set(heads))
@@ -76,10 +74,6 @@ class ChunkedEncoder:
         self.known.update(zip(new, self.learn(new)))
 
 
-def _plain(part: str) -> bool:
-    return bool(part) and not part[0].isspace() and not part[-1].isspace()
-
-
 def chunks(text: str) -> list[str]:
     """The text cut before each space that has no white space beside it."""
     first, *rest = text.split(" ")
