@@ -111,7 +111,7 @@ class Codec:
 
         self.ranks = ranks = load_ranks(path)
         self.pattern, self.by_letters = regex.compile(pattern), pattern == public_tokenizers.PATTERN
-        self.words, self.chunked = Cache(), ChunkedEncoder(self._learn)
+        self.words, self.chunked = Cache(400_000), ChunkedEncoder(self._learn)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY})
         merges = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._table("merges", pair=[(m[0] << 24) + m[1] for m in merges], merged=[m[2] for m in merges])

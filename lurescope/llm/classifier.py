@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from lurescope.llm.textops import map_rows, row_ids
 from lurescope.runtime import ship, small, staged
 
-ORDER = 5
+ORDER = 4
 #: Characters of a shard; a longer text is a shard alone.
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 2_000_000
 #: One of FOLDS trusted texts calibrates the thresholds, the others train the model.
 FOLDS = 5
 #: A text is rejected beyond FENCE interquartile ranges above the upper or below the lower quartile of its language.
@@ -39,7 +39,7 @@ _K = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, ORDER, np.int6
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams that predict the characters of the texts (as strings), the number of each character's n-gram, and text ends."""
-    padded = "".join(_PAD * (ORDER - 1) + t.translate(_TABLE) for t in texts)
+    padded = "".join(_PAD * (ORDER - 1) + (t.translate(_TABLE) if _PAD in t or "\x00" in t else t) for t in texts)
     points = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.cumsum([len(t) for t in texts])
     if not len(texts) or not ends[-1]:

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurescope.runtime import shared_dir, staged
+from lurescope.runtime import shared_dir, small, staged
 
 #: Payloads shorter than this are never written as revisits.
 REVISIT_BYTES = 100
@@ -34,7 +34,8 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", body
     The payload is the body in UTF-8, null counts as empty. Of equal payloads of at least ``least`` bytes the row with
     the smallest key is the response (the first in the stored order if that key occurs twice) and the others are
     revisits; shorter ones are all responses. A null key comes after all others. A null URL gives no target line, and
-    line breaks in one are percent-encoded, so that it can't end its header line. Other columns are not read.
+    line breaks in one are percent-encoded, so that it can't end its header line. Other columns are not read. ``pages`` is
+    read twice and must give the same rows in the same partitions: a table, not a computation with an open order.
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -59,11 +60,12 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", body
         _line("Content-Length", F.when(F.col("revisit"), F.lit("0")).otherwise(F.col("bytes").cast("string"))),
     )
     marked.select(F.encode(head, "UTF-8").alias("head"), "digest", "revisit").write.parquet(f"{path}/headers")
-    # The payloads are read again and only the rows that the first ones name are stored: no aggregation holds a payload.
+    # The payloads are read again, and all but the first of each digest are left out: no aggregation holds a payload, and
+    # the payloads are shuffled only where the others are too many to be broadcast.
     numbered = pages.select(payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
     numbered = numbered.withColumn("digest", F.sha2("payload", 256))
-    wanted = first.select("digest", F.col("first_row").alias("row"))
-    numbered.join(wanted, ["row", "digest"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    others = small(marked.where("row <> first_row").select("row", "digest"))
+    numbered.join(others, ["row", "digest"], "left_anti").select("digest", "payload").write.parquet(f"{path}/payloads")
     return path
 
 
