@@ -69,6 +69,12 @@ class ChunkedEncoder:
             out[i] = b"".join([self.known[c] for c in found])
         return out
 
+    def forget(self) -> None:
+        """Gives the memory back; a worker may serve quite other tasks next."""
+        for cache in (self.inner, self.known):
+            cache.clear()
+            cache.old = {}
+
     def _learn(self, wanted: set[str]) -> None:
         new = self.known.missing(wanted)
         self.known.update(zip(new, self.learn(new)))

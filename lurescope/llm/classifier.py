@@ -138,15 +138,17 @@ def scores(docs: DataFrame, model: DataFrame, unseen: float, key: str = "doc_id"
             yield {"shard": next(number), "body": pack.compress(pickle.dumps([(r["k"], r["code"], r["lang"], r["t"] or "") for r in batch], 5))}
 
     def requests(rows: Iterator[dict]) -> Iterator[dict]:
-        for row in rows:
-            found, _, _ = grams([t for *_, t in pickle.loads(zstandard.decompress(row["body"]))])
+        number = row_ids()  # the same batches, and so the same numbers, as those of the shards
+        for batch in _batches(rows):
+            shard = next(number)
+            found, _, _ = grams([r["t"] or "" for r in batch])
             wanted = set()
             for gram in found.tolist():
                 for k in range(1, ORDER + 1):
                     wanted.add(gram[-k:])
                     wanted.add(gram[-k:-1])
             for gram in wanted:
-                yield {"shard": row["shard"], "gram": gram}
+                yield {"shard": shard, "gram": gram}
 
     def score(_, bodies: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         known = dict(zip(answers["gram"], zip(answers["alpha"].fillna(0.0), answers["gamma"].fillna(1.0))))
@@ -164,7 +166,7 @@ def scores(docs: DataFrame, model: DataFrame, unseen: float, key: str = "doc_id"
         return made.astype({"log_ppl": "float64", "k": "Int64"} if kind in ("bigint", "int") else {"log_ppl": "float64"})
 
     made = map_rows(source, "shard long, body binary", shards, 1)
-    asked = map_rows(made, "shard long, gram string", requests, 50_000)
+    asked = map_rows(source, "shard long, gram string", requests, 50_000)
     answers = asked.join(model, "gram").select("shard", "gram", "alpha", "gamma")
     return made.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(score, f"k {kind}, code long, lang string, chars long, log_ppl double").withColumnRenamed("k", key)
 

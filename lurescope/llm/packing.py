@@ -85,6 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 yield from done(batch)
                 batch, held = [], 0
         yield from done(batch)
+        encoder(tokenizer).forget()
 
     def done(batch: list[dict]) -> Iterator[dict]:
         for row, ids in zip(batch, encoder(tokenizer).encode([r["t"] or "" for r in batch])):
