@@ -113,7 +113,7 @@ def kneser_ney(texts: DataFrame) -> tuple[DataFrame, float]:
         alphas = held.join(contexts.select("ctx", "total"), "ctx").select("gram", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
         gammas = contexts.select(F.col("ctx").alias("gram"), F.lit(None).cast("double").alias("alpha"), F.least(F.col("mass") / F.col("total"), F.lit(1.0)).alias("gamma"))
         parts = alphas.unionByName(gammas) if parts is None else parts.unionByName(alphas).unionByName(gammas)
-    model = parts.groupBy("gram").agg(F.max("alpha").alias("alpha"), F.max("gamma").alias("gamma"))
+    model = parts.groupBy("gram").agg(F.max("alpha").cast("float").alias("alpha"), F.max("gamma").cast("float").alias("gamma"))
     return staged(model, "model"), 1.0 / ((found[1]["n"] or 0) + 1)
 
 
@@ -151,7 +151,7 @@ def scores(docs: DataFrame, model: DataFrame, unseen: float, key: str = "doc_id"
                 yield {"shard": shard, "gram": gram}
 
     def score(_, bodies: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip(answers["gram"], zip(answers["alpha"].fillna(0.0), answers["gamma"].fillna(1.0))))
+        known = dict(zip(answers["gram"], zip(answers["alpha"].astype("float64").fillna(0.0), answers["gamma"].astype("float64").fillna(1.0))))
         out = []
         for body in bodies["body"]:
             rows = pickle.loads(zstandard.decompress(body))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -76,7 +76,7 @@ def covered_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text")
             for at, k, digest in runs(row["t"] or ""):
                 yield {"h1": int.from_bytes(digest[:8], "little", signed=True), "h2": int.from_bytes(digest[8:], "little", signed=True), "k": row["k"], "code": row["code"], "at": at, "n": k}
 
-    source = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("code"), F.col(text).alias("t"))
+    source = docs.select(F.col(key).alias("k"), _code(text).alias("code"), F.col(text).alias("t"))
     found = map_rows(source, f"h1 long, h2 long, k {kind}, code long, at int, n int", work, 50_000)
     place = F.struct(F.col("k").isNull().alias("last"), "k", "code", "at")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("h1", "h2", "first")
@@ -94,7 +94,7 @@ def span_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", count:
     names = docs.columns
     ship(docs.sparkSession)
 
-    marked = docs.withColumn("_code", F.xxhash64(text))
+    marked = docs.withColumn("_code", _code(text))
     side = dropped.select(F.col(key).alias("_key"), F.col("code").alias("_code2"), F.col("sentences").alias("_drop"))
     joined = marked.join(side, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_code") == F.col("_code2")), "left").drop("_key", "_code", "_code2")
     cut = joined.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.pandas_udf(_without, StringType())(F.col(text), F.col("_drop"))))
@@ -103,5 +103,10 @@ def span_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", count:
     return cut.select(*names)
 
 
+def _code(text: str) -> Column:
+    """32 bits that tell rows with the same key apart."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def _without(texts, drops):
     return texts.combine(drops, lambda t, d: t if d is None or t is None else without(t, set(np.asarray(d).tolist())))
