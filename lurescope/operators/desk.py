@@ -17,9 +17,9 @@ def latest(rows: DataFrame, by: str, order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def trailing_count(rows: DataFrame, by: str, ts: str, seconds: int) -> Column:
+def trailing_count(by: str, ts: str, seconds: int) -> Column:
     """Rows of the group within the seconds before each row, itself included: a range window."""
-    return F.count("*").over(Window.partitionBy(by).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0))
+    return F.count("*").over(Window.partitionBy(by).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0))
 
 
 def backoff(interval: Column, failures: Column, cap: int) -> Column:

@@ -1,6 +1,239 @@
-"""Triage queries over message-like rows, with their SQL."""
+"""Triage queries over message-like rows, each with SQL of its own that DuckDB runs on the same tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lurescope.functions import text as T
+from lurescope.operators import campaigns as C
+from lurescope.operators import desk, lookups, scoring
+from lurescope.plans.messages import SQL_MESSAGES, SQL_SIGNALS, SQL_TRAITS, messages, signals, traits
+from lurescope.runtime import table
+from lurescope.sources.sinks import shared_indicators
+from lurescope.streaming import intake
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def _query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _rows(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, names)
+
+
+@_query(f"""WITH {SQL_SIGNALS}, a AS (SELECT msg_id,
+    sum(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 0 END) + least(count(DISTINCT CASE WHEN severity = 'low' THEN lower(trim(split_part(label, ':', 1))) END), 3) AS score,
+    count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'high' AND family <> '') AS hf, count(DISTINCT CASE WHEN severity <> 'low' AND family <> '' THEN family END) AS n_families FROM s GROUP BY msg_id),
+  b AS (SELECT m.msg_id, coalesce(score, 0) AS score, coalesce(n_high, 0) AS n_high, coalesce(hf, 0) AS hf, coalesce(n_families, 0) AS n_families FROM m LEFT JOIN a USING (msg_id))
+  SELECT msg_id, CAST(score AS BIGINT) AS score, n_high, n_families, CASE WHEN n_high >= 2 OR (n_high >= 1 AND (score >= 8 OR (hf > 0 AND n_families >= 2))) OR (n_families >= 3 AND score >= 8) THEN 'LIKELY PHISHING' WHEN n_high >= 1 OR score >= 4 THEN 'SUSPICIOUS' ELSE 'NO STRONG INDICATORS' END AS verdict FROM b""")
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = messages(spark, sf_dir)
+    return scoring.scored(rows, signals(rows))
+
+
+@_query(f"WITH {SQL_SIGNALS} SELECT msg_id, technique, count(*) AS n_signals FROM s WHERE technique <> '' GROUP BY ALL")
+def technique_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.techniques(signals(messages(spark, sf_dir)))
+
+
+@_query(f"WITH {SQL_SIGNALS} SELECT severity, technique, count(*) AS n FROM s GROUP BY ROLLUP (severity, technique)")
+def technique_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals(messages(spark, sf_dir)).rollup("severity", "technique").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {SQL_MESSAGES} SELECT msg_id, host, base, path, query FROM m")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages(spark, sf_dir).select("msg_id", "host", "base", "path", "query")
+
+
+@_query("SELECT page_id, regexp_replace(split_part(url, '://', 1), '^http', 'hxxp') || '://' || replace(regexp_extract(url, '://([^/?#]*)', 1), '.', '[.]') || regexp_replace(url, '^[a-z]+://[^/?#]*', '') AS defanged, url AS refanged FROM pages")
+def refang_defang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = table(spark, sf_dir, "pages").select("page_id", T.defang_url(F.col("url")).alias("defanged"))
+    return out.withColumn("refanged", T.refang(F.col("defanged")))
+
+
+@_query("SELECT page_id, concat_ws('.', n // 16777216, n // 65536 % 256, n // 256 % 256, n % 256) AS address FROM (SELECT page_id, 3232235777 + page_id * 65537 % 900000000 AS n FROM pages)")
+def ipv4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = (F.lit(3232235777) + F.col("page_id") * 65537 % 900000000).cast("string")
+    return table(spark, sf_dir, "pages").select("page_id", T.ipv4(number).alias("address"))
+
+
+def _extracted(pattern: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+        return table(spark, sf_dir, "documents").select("doc_id", found.alias("value")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+
+    return query
+
+
+for _name, _pattern in (("email_extract", T.EMAIL), ("ip_extract", T.IPV4), ("phone_extract", T.PHONE)):
+    QUERIES[_name] = _extracted(_pattern)
+    ORACLE_SQL[_name] = f"SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_pattern}')) AS value FROM documents) GROUP BY ALL"
+
+
+@_query(f"WITH {SQL_MESSAGES} SELECT msg_id, base FROM m WHERE host LIKE 'm.%' OR host LIKE 'blog.%'")
+def host_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages(spark, sf_dir).where(F.col("host").startswith("m.") | F.col("host").startswith("blog.")).select("msg_id", "base")
+
+
+@_query(f"WITH {SQL_MESSAGES}, d(suffix) AS (VALUES ('top'), ('co.uk'), ('tionsh.net')) SELECT msg_id, host, suffix FROM m JOIN d ON host = suffix OR ends_with(host, '.' || suffix)")
+def suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dimension = _rows(spark, "suffix string", [("top",), ("co.uk",), ("tionsh.net",)])
+    return lookups.by_suffix(messages(spark, sf_dir).select("msg_id", "host"), dimension)
+
+
+@_query(f"WITH {SQL_MESSAGES}, p AS (SELECT host, min(path) AS prefix FROM m GROUP BY host) SELECT m.msg_id, host, prefix FROM m JOIN p USING (host) WHERE starts_with(path, prefix)")
+def prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = messages(spark, sf_dir).select("msg_id", "host", "path")
+    return lookups.by_prefix(rows, rows.groupBy("host").agg(F.min("path").alias("prefix"))).select("msg_id", "host", "prefix")
+
+
+@_query(f"WITH {SQL_MESSAGES} SELECT msg_id, base FROM m WHERE split_part(base, '.', 2) NOT IN ('top', 'net')")
+def dim_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = messages(spark, sf_dir).select("msg_id", "base", F.split_part("base", F.lit("."), F.lit(2)).alias("tld"))
+    return lookups.unlisted(rows, _rows(spark, "tld string", [("top",), ("net",)]), "tld").select("msg_id", "base")
+
+
+@_query(f"WITH {SQL_MESSAGES} SELECT msg_id, base FROM m WHERE split_part(base, '.', 2) IN ('top', 'net')")
+def dim_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = messages(spark, sf_dir).select("msg_id", "base", F.split_part("base", F.lit("."), F.lit(2)).alias("tld"))
+    return lookups.listed(rows, _rows(spark, "tld string", [("top",), ("net",)]), "tld").select("msg_id", "base")
+
+
+_PHRASES = [("credential", "the and"), ("credential", "en la"), ("invoice", "der"), ("delivery", "license")]
+
+
+@_query("SELECT doc_id, category FROM documents, (VALUES ('credential', ['the and', 'en la']), ('invoice', ['der']), ('delivery', ['license'])) AS c(category, phrases) WHERE len(list_filter(phrases, lambda p: contains(lower(text), p))) > 0")
+def lure_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.containing(table(spark, sf_dir, "documents"), _PHRASES).select("doc_id", "category")
+
+
+@_query(f"""WITH {SQL_MESSAGES}, l AS (SELECT DISTINCT split_part(base, '.', 1) AS label FROM m WHERE length(split_part(base, '.', 1)) >= 4), b(brand) AS (VALUES ('tionsh'), ('thther'), ('thhtre'), ('cheap'), ('ththans')),
+  x AS (SELECT label, brand, length(label) = length(brand) AS same, list_filter(range(1, length(label) + 1), lambda i: substr(label, i, 1) <> substr(brand, i, 1)) AS d FROM l, b)
+  SELECT label, brand, 'tld-swap' AS method FROM x WHERE label = brand UNION SELECT label, brand, 'combosquat' FROM x WHERE label <> brand AND list_contains(string_split(label, '-'), brand)
+  UNION SELECT label, brand, 'typosquat' FROM x WHERE length(brand) >= 6 AND (levenshtein(label, brand) = 1 OR (same AND len(d) = 2 AND d[2] = d[1] + 1 AND substr(label, d[1], 1) = substr(brand, d[2], 1) AND substr(label, d[2], 1) = substr(brand, d[1], 1)))""")
+def lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = messages(spark, sf_dir).select(F.split_part("base", F.lit("."), F.lit(1)).alias("label"))
+    return lookups.lookalikes(labels, _rows(spark, "brand string", [("tionsh",), ("thther",), ("thhtre",), ("cheap",), ("ththans",)]))
+
+
+@_query(f"WITH {SQL_MESSAGES}, r AS (SELECT msg_id, 'url' AS type, url AS value FROM m UNION ALL SELECT msg_id, 'domain', base FROM m) SELECT type, value, min(msg_id) AS msg_id FROM r GROUP BY ALL")
+def stix_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = messages(spark, sf_dir)
+    both = rows.select("msg_id", F.lit("url").alias("type"), F.col("url").alias("value")).unionByName(rows.select("msg_id", F.lit("domain").alias("type"), F.col("base").alias("value")))
+    return shared_indicators(both)
+
+
+@_query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS cell FROM documents")
+def csv_safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.csv_safe(F.col("text")).alias("cell"))
+
+
+@_query("SELECT page_id, CASE WHEN length(f) >= 8 THEN f ELSE '' END AS folded FROM (SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1) || ' ' || page_id, '[0-9]+', '#', 'g'), '\\s+', ' ', 'g'))) AS f FROM pages)")
+def subject_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat(F.lit("RE: Fwd: "), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(" "), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", T.subject_fold(title).alias("folded"))
+
+
+@_query(f"WITH {SQL_MESSAGES}, h AS (SELECT msg_id, regexp_extract(base, '[^.]*$') AS base, host FROM m) SELECT base, count(DISTINCT msg_id) AS messages, count(DISTINCT host) AS hosts FROM h GROUP BY base HAVING count(DISTINCT host) >= 5 AND count(DISTINCT host) >= 0.6 * count(DISTINCT msg_id)")
+def platform_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = messages(spark, sf_dir).select("msg_id", F.regexp_extract("base", r"[^.]*$", 0).alias("base"), "host")
+    return C.platforms(rows)
+
+
+@_query(f"WITH {SQL_TRAITS}, g AS (SELECT value, min(msg_id) AS src FROM t WHERE kind = 'link' GROUP BY value) SELECT src, msg_id AS dst, 'link' AS kind FROM t JOIN g USING (value) WHERE kind = 'link' AND msg_id <> src")
+def strong_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.strong_edges(traits(messages(spark, sf_dir)))
+
+
+_SQL_CAMPAIGNS = f"""WITH RECURSIVE {SQL_TRAITS},
+  crowd AS (SELECT kind, value FROM t WHERE kind <> 'link' GROUP BY ALL HAVING count(*) BETWEEN 2 AND 200), w AS (SELECT t.* FROM t JOIN crowd USING (kind, value)),
+  e AS (SELECT a.msg_id AS src, b.msg_id AS dst FROM t a JOIN t b USING (kind, value) WHERE kind = 'link' AND a.msg_id <> b.msg_id
+    UNION SELECT a.msg_id, b.msg_id FROM w a JOIN w b USING (kind, value) WHERE a.msg_id <> b.msg_id GROUP BY ALL HAVING count(DISTINCT kind) >= 2),
+  r(node, root) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.dst, r.root FROM r JOIN e ON e.src = r.node WHERE r.root < e.dst),
+  c AS (SELECT node AS msg_id, min(root) AS campaign FROM r GROUP BY node)"""
+
+
+@_query(_SQL_CAMPAIGNS + " SELECT msg_id, campaign FROM c")
+def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.campaigns(traits(messages(spark, sf_dir)))
+
+
+@_query(_SQL_CAMPAIGNS + " SELECT campaign, count(*) AS size, 'C' || row_number() OVER (ORDER BY count(*) DESC, campaign) AS name FROM c GROUP BY campaign")
+def campaign_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.ranked(C.campaigns(traits(messages(spark, sf_dir))))
+
+
+@_query(f"WITH {SQL_MESSAGES} SELECT msg_id, base, html_chars FROM m QUALIFY row_number() OVER (PARTITION BY base ORDER BY html_chars DESC, msg_id) <= 3")
+def enrich_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.budgeted(messages(spark, sf_dir).select("msg_id", "base", "html_chars"), ["base"], [F.desc("html_chars"), "msg_id"], 3)
+
+
+@_query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS recent FROM events")
+def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", desk.trailing_count("user_id", "ts", 3600).alias("recent"))
+
+
+@_query("SELECT user_id AS workspace, CAST(ts AS DATE) AS day, count(*) AS used, greatest(5 - count(*), 0) AS room FROM events GROUP BY ALL")
+def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return desk.daily_room(table(spark, sf_dir, "events").select(F.col("user_id").alias("workspace"), "ts"), 5)
+
+
+@_query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return desk.latest(table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@_query("SELECT DISTINCT user_id, least(300 * CAST(pow(2, least(user_id % 20, 12)) AS BIGINT), 86400) AS wait FROM events")
+def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", desk.backoff(F.lit(300).cast("long"), F.col("user_id") % 20, 86400).alias("wait")).distinct()
+
+
+@_query("""WITH r AS (SELECT user_id, count(*) AS n, max(ts) AS last FROM events WHERE event_type = 'click' GROUP BY user_id)
+  SELECT event_id AS job, e.user_id AS workspace FROM events e LEFT JOIN r USING (user_id) WHERE event_type <> 'click' AND coalesce(n, 0) < 14 ORDER BY last NULLS FIRST, ts, event_id LIMIT 20""")
+def fair_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("job"), F.col("user_id").alias("workspace"), "ts", "event_type")
+    return desk.fair_claim(rows.where("event_type <> 'click'"), rows.where("event_type = 'click'"), 14, 20).select("job", "workspace")
+
+
+@_query("SELECT user_id AS log, event_id AS n, sha256(coalesce(lag(event_type || value) OVER w, '') || chr(10) || (event_type || value)) AS link FROM (SELECT user_id, event_id, event_type, CAST(event_id AS VARCHAR) AS value FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("n"), F.concat("event_type", F.col("event_id").cast("string")).alias("body"))
+    return desk.chain_links(rows).select("log", "n", "link")
+
+
+@_query("""SELECT tp, fn, fp, tn, round(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 4) AS recall, round(fp / nullif(CAST(fp + tn AS DOUBLE), 0), 4) AS false_positive_rate, round(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 4) AS precision
+  FROM (SELECT count(*) FILTER (t AND f) AS tp, count(*) FILTER (t AND NOT f) AS fn, count(*) FILTER (NOT t AND f) AS fp, count(*) FILTER (NOT t AND NOT f) AS tn FROM (SELECT quality = 0 AS t, doc_id % 7 < 2 AS f FROM labels))""")
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return desk.confusion(table(spark, sf_dir, "labels").select((F.col("quality") == 0).alias("truth"), (F.col("doc_id") % 7 < 2).alias("flagged")))
+
+
+@_query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY CUBE (quality, toxic)")
+def feedback_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").cube("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id")
+    return rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+@_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.tumbling(table(spark, sf_dir, "events")).drop("total")
+
+
+@_query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  n AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS number FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM n GROUP BY user_id, number""")
+def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.sessions(table(spark, sf_dir, "events"))
