@@ -26,7 +26,7 @@ from lurescope.runtime import ship, small, staged
 
 ORDER = 4
 #: Characters of a shard; a longer text is a shard alone.
-SHARD_CHARS = 2_000_000
+SHARD_CHARS = 4_000_000
 #: One of FOLDS trusted texts calibrates the thresholds, the others train the model.
 FOLDS = 5
 #: A text is rejected beyond FENCE interquartile ranges above the upper or below the lower quartile of its language.
@@ -46,7 +46,9 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, f"<U{ORDER}"), np.empty(0, np.int64), ends
     run = np.lib.stride_tricks.sliding_window_view(points, ORDER)
     with np.errstate(over="ignore"):
-        code = sum(points[i : len(points) - ORDER + 1 + i].astype(np.uint64) * _K[i] for i in range(ORDER))
+        code = np.zeros(len(run), np.uint64)
+        for i in range(ORDER):
+            code += points[i : len(run) + i].astype(np.uint64) * _K[i]
     where = np.flatnonzero(points[ORDER - 1 :] != ord(_PAD))
     number, _ = pd.factorize(code[where])
     first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1) > 0)
@@ -133,7 +135,7 @@ def scores(docs: DataFrame, model: DataFrame, unseen: float, key: str = "doc_id"
     source = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("code"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"))
 
     def shards(rows: Iterator[dict]) -> Iterator[dict]:
-        number, pack = row_ids(), zstandard.ZstdCompressor(level=1)
+        number, pack = row_ids(), zstandard.ZstdCompressor(level=6)
         for batch in _batches(rows):
             yield {"shard": next(number), "body": pack.compress(pickle.dumps([(r["k"], r["code"], r["lang"], r["t"] or "") for r in batch], 5))}
 
