@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lurescope.llm.textops import WordHashes, map_rows, mixed, row_ids, shingles, words
 from lurescope.operators.components import connected_components
-from lurescope.runtime import staged
+from lurescope.runtime import small, staged
 
 #: At a similarity of 0.8 a pair shares none of the bands with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 BANDS, ROWS, BITS = 32, 5, 2
@@ -322,4 +322,4 @@ def _linked(members: list[dict], least: int, percent: int) -> Iterator[dict]:
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: one document of each group, with all its columns."""
     gone = near_groups(docs, key, text, shingle, percent).where("NOT kept").select(F.col(key).alias("_key")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_key"), "left_anti")
+    return docs.join(small(staged(gone, "gone")), F.col(key) == F.col("_key"), "left_anti")
