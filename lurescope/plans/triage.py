@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lurescope.functions import text as T
@@ -237,3 +237,76 @@ def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
   n AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS number FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM n GROUP BY user_id, number""")
 def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.sessions(table(spark, sf_dir, "events"))
+
+
+@_query("SELECT event_id, user_id FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-15' AND user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) >= 3)")
+def retention_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    busy = rows.groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 3")
+    return rows.where(F.to_date("ts") < F.lit("2024-01-15").cast("date")).join(busy, "user_id", "left_semi").select("event_id", "user_id")
+
+
+@_query("SELECT user_id AS campaign, max(CAST(ts AS DATE)) AS last_seen FROM events GROUP BY user_id HAVING max(CAST(ts AS DATE)) <= DATE '2024-01-30'")
+def stale_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("campaign")).agg(F.max(F.to_date("ts")).alias("last_seen"))
+    return last.where(F.col("last_seen") <= F.lit("2024-01-30").cast("date"))
+
+
+@_query("SELECT doc_id, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(toxic) = 1)")
+def disputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 1")
+    return table(spark, sf_dir, "documents").join(marks, "doc_id", "left_semi").select("doc_id", "source", "lang")
+
+
+@_query("SELECT c_custkey AS workspace, count(o_orderkey) AS n_messages FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def workspace_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("workspace")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("workspace")).join(counted, "workspace", "left").select("workspace", F.coalesce("n", F.lit(0)).cast("long").alias("n_messages"))
+
+
+@_query(f"WITH {SQL_MESSAGES} SELECT msg_id, base FROM m WHERE starts_with(url, 'http://') OR msg_id IN (SELECT msg_id FROM m WHERE query LIKE '%utm%') ORDER BY msg_id DESC LIMIT 25 OFFSET 5")
+def analysis_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = messages(spark, sf_dir)
+    marked = rows.where(F.contains(F.col("query"), F.lit("utm"))).select("msg_id")
+    found = rows.where(F.col("url").startswith("http://")).select("msg_id", "base").unionByName(rows.join(marked, "msg_id", "left_semi").select("msg_id", "base")).distinct()
+    return found.orderBy(F.desc("msg_id")).offset(5).limit(25)
+
+
+@_query(f"WITH {SQL_TRAITS}, c AS (SELECT kind, value, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 2) SELECT kind, value, n FROM c QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) <= 25")
+def shared_traits_top25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = traits(messages(spark, sf_dir)).distinct().groupBy("kind", "value").agg(F.count("*").alias("n")).where("n >= 2")
+    return lookups.budgeted(counted, ["kind"], [F.desc("n"), "value"], 25)
+
+
+@_query(f"WITH {SQL_SIGNALS} SELECT msg_id, severity, label FROM s QUALIFY row_number() OVER (PARTITION BY msg_id, severity ORDER BY ord) = 1")
+def first_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = signals(messages(spark, sf_dir)).groupBy("msg_id", "severity").agg(F.min_by("label", "ord").alias("label"))
+    return kept.select("msg_id", "severity", "label")
+
+
+@_query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS BIGINT) AS delay FROM events")
+def hop_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", (F.col("ts").cast("timestamp").cast("long") - before.cast("timestamp").cast("long")).alias("delay"))
+
+
+@_query("SELECT lang, source, count(*) AS n, count(*) FILTER (quality = 0) AS n_bad FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), ())")
+def eval_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    sets = rows.groupingSets([["lang"], ["source"], []], "lang", "source")
+    return sets.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 0).alias("n_bad"))
+
+
+@_query(f"WITH {SQL_MESSAGES}, c(base, status, age) AS (VALUES ('tionsh.top', 'ok', 10), ('tionsh.net', 'ok', 5000), ('tionsh.zip', 'error', 1)) SELECT msg_id, m.base, CASE WHEN status IN ('ok', 'not_found') AND age <= 3600 THEN status ELSE 'ask' END AS answer FROM m LEFT JOIN c ON c.base = m.base")
+def cache_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _rows(spark, "base string, status string, age long", [("tionsh.top", "ok", 10), ("tionsh.net", "ok", 5000), ("tionsh.zip", "error", 1)])
+    usable = F.broadcast(known.where("status IN ('ok', 'not_found') AND age <= 3600").select("base", "status"))  # three rows
+    return messages(spark, sf_dir).select("msg_id", "base").join(usable, "base", "left").select("msg_id", "base", F.coalesce("status", F.lit("ask")).alias("answer"))
+
+
+@_query(f"WITH {SQL_MESSAGES}, r AS (SELECT msg_id, 1 AS ord, base AS value, 'link' AS context FROM m UNION ALL SELECT msg_id, 2, host, 'host' FROM m) SELECT msg_id, value, string_agg(context, ', ' ORDER BY ord) AS context FROM r GROUP BY msg_id, value")
+def ioc_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.col("base").alias("value"), F.lit("link").alias("context")), F.struct(F.lit(2).alias("ord"), F.col("host").alias("value"), F.lit("host").alias("context"))))
+    rows = messages(spark, sf_dir).select("msg_id", parts.alias("r")).select("msg_id", "r.*")
+    ordered = F.sort_array(F.collect_list(F.struct("ord", "context")))
+    return rows.groupBy("msg_id", "value").agg(F.array_join(F.transform(ordered, lambda x: x["context"]), ", ").alias("context"))
