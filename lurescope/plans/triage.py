@@ -246,10 +246,10 @@ def retention_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.to_date("ts") < F.lit("2024-01-15").cast("date")).join(busy, "user_id", "left_semi").select("event_id", "user_id")
 
 
-@_query("SELECT user_id AS campaign, max(CAST(ts AS DATE)) AS last_seen FROM events GROUP BY user_id HAVING max(CAST(ts AS DATE)) <= DATE '2024-01-30'")
+@_query("SELECT user_id AS campaign, max(CAST(ts AS DATE)) AS last_seen FROM events GROUP BY user_id HAVING max(CAST(ts AS DATE)) <= DATE '2024-01-29'")
 def stale_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("campaign")).agg(F.max(F.to_date("ts")).alias("last_seen"))
-    return last.where(F.col("last_seen") <= F.lit("2024-01-30").cast("date"))
+    return last.where(F.col("last_seen") <= F.lit("2024-01-29").cast("date"))
 
 
 @_query("SELECT doc_id, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(toxic) = 1)")
