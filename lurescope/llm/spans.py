@@ -3,14 +3,16 @@
 Every run of several consecutive sentences is hashed, the hashes are joined over all documents, and a sentence that a
 run covers goes unless that run is the first of its kind, by key and then by place.
 
-A run is three consecutive sentences of ten words or more together. So that a long passage of fewer sentences is found
-too, two consecutive sentences of 25 words or more and single ones of 40 or more are runs as well.
+A run has at least 20 words, or at least three sentences and ten words. From each sentence the shortest run that starts
+there and the shortest that ends there are taken, so that sentences of any length form runs, and that each sentence of a
+passage is in a run of the passage if its whole sentences together have the words of a run.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import xxhash
@@ -21,8 +23,8 @@ from pyspark.sql.types import StringType
 from lurescope.llm.textops import map_rows
 from lurescope.runtime import ship
 
-#: Sentences of a run, and the words that such a run has at least.
-RUNS = ((3, 10), (2, 25), (1, 40))
+#: A run has WORDS words at least, or FEW words and SENTENCES sentences.
+WORDS, FEW, SENTENCES = 20, 10, 3
 
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
@@ -42,12 +44,33 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def runs(text: str) -> Iterator[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, 128-bit hash) of each run; words count and are compared as they stand."""
     split = [text[a:b].split() for a, b in sentences(text)]
-    counts = [len(s) for s in split]
     codes = [xxhash.xxh3_128_digest(" ".join(s).encode("utf-8", "surrogatepass")) for s in split]
-    for k, least in RUNS:
-        for at in range(len(split) - k + 1):
-            if sum(counts[at : at + k]) >= least:
-                yield at, k, xxhash.xxh3_128_digest(b"".join(codes[at : at + k]), seed=k)
+    for at, end in places([len(s) for s in split]):
+        yield at, end - at, xxhash.xxh3_128_digest(b"".join(codes[at:end]), seed=end - at)
+
+
+def places(counts: list[int]) -> list[tuple[int, int]]:
+    """(first sentence, sentence behind the last) of the shortest run from each sentence on and of the shortest up to each."""
+    before = [0, *accumulate(counts)]
+
+    def enough(at: int, end: int) -> bool:
+        words = before[end] - before[at]
+        return words >= WORDS or words >= FEW and end - at >= SENTENCES
+
+    found, end = set(), 1
+    for at in range(len(counts)):
+        while end <= len(counts) and not enough(at, end):
+            end += 1
+        if end > len(counts):
+            break
+        found.add((at, end))
+    at = 0
+    for end in range(1, len(counts) + 1):
+        while enough(at + 1, end):
+            at += 1
+        if enough(at, end):
+            found.add((at, end))
+    return sorted(found)
 
 
 def without(text: str, drop: set[int]) -> str:

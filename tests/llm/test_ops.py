@@ -111,6 +111,21 @@ def test_spans_remove_later_copies(spark, odd, empty):
     assert spans.span_dedup(odd).count() == len(ODD) and spans.span_dedup(empty).count() == 0
 
 
+def test_spans_of_short_sentences_and_without_edge_sentences(spark):
+    verse = " ".join(f"W{i}!!" for i in range(60))
+    first, second, third = (" ".join(f"{c}{i}" for i in range(n)) + "." for c, n in (("a", 31), ("b", 6), ("c", 16)))
+    rows = [(1, f"{verse} End."), (2, f"Other start. {verse}"), (3, f"{first} {second} {third}"), (4, f"Starts inside: {first} {second} {third} Next.")]
+    out = {r.doc_id: r.text for r in spans.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "Other start.", 3: rows[2][1], 4: f"Starts inside: {first} Next."}
+    rng = random.Random(9)
+    for _ in range(300):
+        counts = rng.choices([1, 2, 3, 9, 10, 19, 20, 30], k=rng.randint(0, 12))
+        found = spans.places(counts)
+        for a, b in itertools.combinations(range(len(counts) + 1), 2):
+            whole = sum(counts[a:b]) >= 20 or sum(counts[a:b]) >= 10 and b - a >= 3
+            assert {i for x, y in found if a <= x and y <= b for i in range(x, y)} == (set(range(a, b)) if whole else set())
+
+
 def test_chat_round_trip_and_masks(spark):
     rng = random.Random(3)
     parts = ["\\", "<", "|", "</s>", "[INST]", "b", "l", "n", "\n", "<|im_end|>", "é"]
