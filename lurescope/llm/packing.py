@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate, chain
 
 import numpy as np
@@ -38,6 +40,7 @@ def encoder(path: str) -> ChunkedEncoder:
     The file's vocabulary and merges are run by tiktoken's merge loop, which takes a few times less time for each new
     chunk than the tokenizers library. It gives the same ids where each merge makes the next id, as ``_ranks`` checks,
     and where each token by itself is encoded as itself; tests compare both libraries on all tokens and on texts.
+    Added tokens are ordinary text here; ``encoded`` cuts them out before.
     """
     if path not in _encoders:
         import public_tokenizers
@@ -69,6 +72,28 @@ def _ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(merges)}
 
 
+@cache
+def _added(path: str) -> dict[str, bytes]:
+    """Content and id, as 32 bits, of each added token of the file."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    if made.get("normalizer") or any(t[flag] for t in made["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: a normalizer, or added tokens that depend on what is beside them")
+    return {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in made["added_tokens"]}
+
+
+def encoded(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of each text as the tokenizers library gives them with add_special_tokens=False.
+
+    Added tokens get their ids, the longest first where several start at a place, and what is between is encoded alone.
+    """
+    added = _added(path)
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    split = [cut.split(t) if any(a in t for a in added) else [t] for t in texts]
+    found = iter(encoder(path).encode([p for parts in split for p in parts[::2]]))
+    return [b"".join([added[p] if i % 2 else next(found) for i, p in enumerate(parts)]) for parts in split]
+
+
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of every piece; null text counts as empty and gives the end id alone.
 
@@ -88,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         encoder(tokenizer).forget()
 
     def done(batch: list[dict]) -> Iterator[dict]:
-        for row, ids in zip(batch, encoder(tokenizer).encode([r["t"] or "" for r in batch])):
+        for row, ids in zip(batch, encoded(tokenizer, [r["t"] or "" for r in batch])):
             ids += end
             n, at, number = len(ids) // 4, 0, 0
             while at < n:

@@ -200,6 +200,21 @@ def test_encoder_equals_the_library_on_tokens_and_odd_spaces():
     assert packing.encoder(path).encode(texts) == expected
 
 
+def test_added_tokens_get_the_ids_that_the_library_gives(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(10)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y", "<|endoftext|", "plain"]
+    texts += ["".join(rng.choices(["<|endoftext|>", "a", " ", "\n", "<|", "'s", "é"], k=rng.randint(0, 12))) for _ in range(500)]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert expected[0] == np.array([64, 220, 50256, 275], "<u4").tobytes()
+    rows = {r.doc_id: r for r in packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    end = np.array([2], "<u4").tobytes()
+    assert [(rows[i].length, rows[i].ids_crc32) for i in range(len(texts))] == [(len(ids) // 4 + 1, zlib.crc32(ids + end)) for ids in expected]
+
+
 def test_plan_uses_all_counts_and_exact_complements():
     rng = random.Random(6)
     for _ in range(20):
