@@ -29,8 +29,10 @@ ORDER = 4
 SHARD_CHARS = 4_000_000
 #: One of FOLDS trusted texts calibrates the thresholds, the others train the model.
 FOLDS = 5
-#: A text is rejected beyond FENCE interquartile ranges above the upper or below the lower quartile of its language.
-FENCE = 4.0
+#: Shares of trusted texts that the fences of a language give up: below, of all of them, and above, of those held out.
+LOW, HIGH = 0.0025, 0.005
+#: Held-out texts from which on those quantiles are used; with fewer, FENCE interquartile ranges beyond the quartiles.
+CALIBRATION, FENCE = 50, 4.0
 
 _PAD = "\x02"
 _TABLE = str.maketrans({_PAD: " ", "\x00": " "})
@@ -186,24 +188,36 @@ def _fold(name: str) -> Column:
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, code, lang, chars, log_ppl, low, high, kept of each row of docs.
 
-    A text is kept if its log-perplexity is within the fences of its language, which are wider for short texts, as
-    their means vary more. A null language is one of its own; one without calibration texts takes the fences of all,
-    and without any trusted text all rows with text are kept. Empty and null texts have no perplexity and are rejected.
+    A text is kept if its log-perplexity is within the fences of its language. Deviations from the median are divided by
+    their usual spread at a text's length before quantiles are taken, as the means of short texts vary more. Held-out
+    texts alone say what is too high; texts that were trained on score lower, so that all trusted texts say what is too
+    low. A null language is one of its own; one without calibration texts takes the fences of all, and without any
+    trusted text all rows with text are kept. Empty and null texts have no perplexity and are rejected.
     """
     trusted = trusted_keys(labels, key)
     side = small(trusted.where(_fold("trusted") != 0))
     texts = docs.join(side, docs[key] == side["trusted"], "left_semi").select(F.col(text).alias("t"))
     model, unseen = kneser_ney(texts)
     scored = staged(scores(docs, model, unseen, key, text, lang), "scores")
-    held = scored.where("log_ppl IS NOT NULL").join(trusted.where(_fold("trusted") == 0), F.col(key) == F.col("trusted"), "left_semi")
     named = F.coalesce("lang", F.lit(""))
-    quartiles = F.expr("percentile_approx(log_ppl, array(0.25, 0.75), 10000)").alias("q")
-    by_lang = held.groupBy(named.alias("_lang")).agg(quartiles)
-    overall = held.agg(quartiles.alias("all"))
-    out = scored.join(by_lang, named == F.col("_lang"), "left").crossJoin(F.broadcast(overall))  # one row
-    q = F.coalesce("q", "all")
-    wide = FENCE * (q[1] - q[0] + 0.02) * F.sqrt(1 + F.lit(2000) / F.greatest("chars", F.lit(1)))
-    out = out.withColumn("low", q[0] - wide).withColumn("high", q[1] + wide)
+    known = scored.where("log_ppl IS NOT NULL").join(trusted, F.col(key) == F.col("trusted")).withColumn("_lang", named).withColumn("held", F.when(_fold("trusted") == 0, F.col("log_ppl")))
+    median = F.expr("percentile_approx(held, 0.5, 10000)").alias("median")
+    wide = F.sqrt(1 + F.lit(2000) / F.greatest("chars", F.lit(1)))
+
+    def fences(rows: DataFrame, by: list[str]) -> DataFrame:
+        z = ((F.col("log_ppl") - F.col("median")) / wide).alias("z")
+        rows = rows.select(*by, "median", z, F.col("held").isNotNull().alias("held"))
+        q = f"percentile_approx(CASE WHEN held THEN z END, array(0.25, 0.75, {1 - HIGH}), 10000)"
+        found = rows.groupBy(*by, "median").agg(F.count_if("held").alias("n"), F.expr(q).alias("q"), F.expr(f"percentile_approx(z, {LOW}, 10000)").alias("least"))
+        few, q = F.col("n") < CALIBRATION, F.col("q")
+        reach = FENCE * (q[1] - q[0] + 0.02)
+        return found.where("n > 0").select(*by, F.struct("median", F.when(few, q[0] - reach).otherwise(F.col("least")).alias("low"), F.when(few, q[1] + reach).otherwise(q[2]).alias("high")).alias("f"))
+
+    by_lang = staged(fences(known.join(small(known.groupBy("_lang").agg(median)), "_lang"), ["_lang"]), "fences")
+    overall = fences(known.crossJoin(F.broadcast(known.agg(median))), []).agg(F.first("f").alias("all"))  # one row
+    out = scored.join(small(by_lang), named == F.col("_lang"), "left").crossJoin(F.broadcast(overall))
+    f = F.coalesce("f", "all")
+    out = out.withColumn("low", f["median"] + f["low"] * wide).withColumn("high", f["median"] + f["high"] * wide)
     inside = F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.col("log_ppl") <= F.col("high")), F.lit(True))
     return out.withColumn("kept", F.col("log_ppl").isNotNull() & inside).select(key, "code", "lang", "chars", "log_ppl", "low", "high", "kept")
 

@@ -295,3 +295,13 @@ def test_classifier_on_odd_rows_and_without_labels(spark, odd, empty):
     assert len(rows) == len(ODD) and {r.kept for r in rows if r.doc_id in (1, 2)} == {False}
     assert classifier.judged(odd, labels.limit(0)).where("kept").count() == len(ODD) - 2
     assert classifier.judged(empty, labels).count() == 0 and classifier.quality_filter(odd, labels).columns == odd.columns
+
+
+def test_classifier_rejects_labelled_bad_documents_at_a_stated_loss(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    trusted = classifier.trusted_keys(labels).withColumn("held", classifier._fold("trusted") == 0)
+    rows = classifier.judged(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").join(trusted, F.col("doc_id") == F.col("trusted"), "left").toPandas()
+    good = rows[rows["held"].notna()]
+    assert rows[rows["quality"] == 0].kept.mean() < 0.05
+    assert good.kept.mean() > 0.99 and good[good["held"].astype(bool)].kept.mean() > 0.985
