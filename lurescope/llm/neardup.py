@@ -90,14 +90,14 @@ def equal_fields(a: str, b: str) -> Column:
 
 
 def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """node (unique), key, n_shingles, digest of the set, and bands and packed low bits unless the set is empty."""
+    """node (unique), key, code (a hash of the text), n_shingles, digest of the set, and bands and packed low bits unless the set is empty."""
     kind = docs.schema[key].dataType.simpleString()
 
     def work(rows: Iterator[dict]) -> Iterator[dict]:
         hashes, number, known = WordHashes(), row_ids(), {}
         for row in rows:
             found = shingles(hashes.of(words(row["t"])), shingle)
-            out = {"node": next(number), "k": row["k"], "n_shingles": len(found), "digest": None, "bands": None, "packed": None}
+            out = {"node": next(number), "k": row["k"], "code": row["code"], "n_shingles": len(found), "digest": None, "bands": None, "packed": None}
             if len(found):
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 if digest not in known:
@@ -108,8 +108,8 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                 out["digest"], (out["bands"], out["packed"]) = digest, known[digest]
             yield out
 
-    source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return map_rows(source, f"node long, k {kind}, n_shingles long, digest binary, bands array<long>, packed array<long>", work, 5000)
+    source = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("code"), F.col(text).alias("t"))
+    return map_rows(source, f"node long, k {kind}, code long, n_shingles long, digest binary, bands array<long>, packed array<long>", work, 5000)
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -122,6 +122,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     is true where the key is its component's. Null keys come last: where a component has no other, component_id is null
     and its rows are kept. Other columns are not read.
     """
+    return _judged(docs, key, text, shingle, percent).drop("code")
+
+
+def _judged(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """near_groups with code, the hash of the text, which tells rows with a repeated key and different texts apart."""
     rows = staged(signatures(docs, key, text, shingle), "signatures")
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min("k").alias("top"))
     full = staged(classes.join(rows.select("node", "bands", "packed", "n_shingles"), "node"), "classes")
@@ -129,9 +134,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     labels = full.select("digest", "node", "top").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tops = labels.groupBy("component").agg(F.min("top").alias("component_id"))
     ids = labels.join(tops, "component").select("digest", "component_id")
-    out = rows.select("k", "n_shingles", "digest").join(ids, "digest", "left")
+    out = rows.select("k", "code", "n_shingles", "digest").join(ids, "digest", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("k")).otherwise(F.col("component_id"))
-    return out.select(F.col("k").alias(key), "n_shingles", own.alias("component_id"), F.coalesce(F.col("k") == own, F.col("k").isNull() & own.isNull()).alias("kept"))
+    return out.select(F.col("k").alias(key), "code", "n_shingles", own.alias("component_id"), F.coalesce(F.col("k") == own, F.col("k").isNull() & own.isNull()).alias("kept"))
 
 
 def _components(docs: DataFrame, full: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
@@ -202,16 +207,16 @@ def _sets(docs: DataFrame, full: DataFrame, nodes: DataFrame, key: str, text: st
                     if len(last) > 5000:
                         last.clear()
                     last[digest] = None
-                    yield {"digest": digest, "k": row["k"], "shingles": found.view(np.int64)}
+                    yield {"digest": digest, "shingles": found.view(np.int64)}
 
-    kind = docs.schema[key].dataType.simpleString()
-    wanted = full.join(nodes, "node").select("digest", "node", F.col("top").alias("k"))
-    keys = wanted.select(F.col("k").alias(key)).distinct()
-    # Only the texts that stand for such a class are read again; a null key is found by its digest alone.
-    source = docs.join(keys, docs[key].eqNullSafe(keys[key]), "left_semi").select(F.col(key).alias("k"), F.col(text).alias("t"))
-    made = map_rows(source, f"digest binary, k {kind}, shingles array<long>", work, 2000)
-    chosen = made.alias("m").join(wanted.alias("w"), (F.col("m.digest") == F.col("w.digest")) & F.col("m.k").eqNullSafe(F.col("w.k")))
-    return staged(chosen.select("w.node", "m.shingles").dropDuplicates(["node"]), "sets")
+    wanted = full.join(nodes, "node").select("digest", "node", "top")
+    keys = wanted.select(F.col("top").alias(key)).distinct()
+    # Only texts under a key that leads such a class are read again. Where keys repeat or are null, texts of other classes
+    # and copies under other keys are among them, so that the digest alone says whose set it is.
+    source = docs.join(keys, docs[key].eqNullSafe(keys[key]), "left_semi").select(F.col(text).alias("t"))
+    made = map_rows(source, "digest binary, shingles array<long>", work, 2000)
+    chosen = made.join(wanted.select("digest", "node"), "digest")
+    return staged(chosen.select("node", "shingles").dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -320,6 +325,7 @@ def _linked(members: list[dict], least: int, percent: int) -> Iterator[dict]:
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: one document of each group, with all its columns."""
-    gone = near_groups(docs, key, text, shingle, percent).where("NOT kept").select(F.col(key).alias("_key")).distinct()
-    return docs.join(small(staged(gone, "gone")), F.col(key) == F.col("_key"), "left_anti")
+    """The rows of docs that stay: one document of each group, with all its columns. Rows go by key and text, not by key alone."""
+    gone = _judged(docs, key, text, shingle, percent).where("NOT kept").select(F.col(key).alias("_key"), F.col("code").alias("_code")).distinct()
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_code"))
+    return docs.join(small(staged(gone, "gone")), same, "left_anti")

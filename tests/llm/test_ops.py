@@ -102,6 +102,16 @@ def test_near_groups_on_odd_rows(odd, empty):
     assert neardup.near_groups(empty).count() == 0 and neardup.near_dedup(odd).columns == odd.columns
 
 
+def test_near_groups_with_repeated_and_null_keys(spark):
+    a, b = ([f"{c}{i}" for i in range(100)] for c in "ab")
+    a1, a2, b1, b2 = (" ".join(w) for w in (a, [*a, "x"], b, [*b, "x"]))
+    rows = [(7, a1), (None, a1), (3, a1), (7, b1), (8, b2), (9, a2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = neardup.near_groups(frame).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in found) == Counter([(7, 3, False), (None, 3, False), (3, 3, True), (7, 7, True), (8, 7, False), (9, 3, False)])
+    assert sorted((r.doc_id, r.text) for r in neardup.near_dedup(frame).collect()) == [(3, a1), (7, b1)]
+
+
 def test_spans_remove_later_copies(spark, odd, empty):
     passage = "The first of these sentences has quite some words. The second one follows it closely enough. A third one ends the long passage here."
     rows = [(1, f"Unique opening here. {passage} Unique end."), (2, f"Other opening.\n{passage}\nOther end."), (3, "Short. Short. Short. Short.")]
