@@ -96,8 +96,24 @@ def covered_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     def work(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
+            seen, again = set(), set()
             for at, k, digest in runs(row["t"] or ""):
-                yield {"h1": int.from_bytes(digest[:8], "little", signed=True), "h2": int.from_bytes(digest[8:], "little", signed=True), "k": row["k"], "code": row["code"], "at": at, "n": k}
+                if digest in seen:
+                    again.update(range(at, at + k))
+                else:
+                    seen.add(digest)
+                    yield made(row, at, k, digest)
+            # A line that fills a text would be one hash at each place: what a text itself has before goes as runs of its
+            # own, each with an empty first place before the text.
+            for at in sorted(again):
+                if at - 1 not in again:
+                    n = next(i for i in range(1, len(again) + 1) if at + i not in again)
+                    own = xxhash.xxh3_128_digest(f"{row['k']!r} {row['code']} {at}".encode("utf-8", "surrogatepass"))
+                    yield made(row, -1, 0, own)
+                    yield made(row, at, n, own)
+
+    def made(row: dict, at: int, n: int, digest: bytes) -> dict:
+        return {"h1": int.from_bytes(digest[:8], "little", signed=True), "h2": int.from_bytes(digest[8:], "little", signed=True), "k": row["k"], "code": row["code"], "at": at, "n": n}
 
     source = docs.select(F.col(key).alias("k"), _code(text).alias("code"), F.col(text).alias("t"))
     found = map_rows(source, f"h1 long, h2 long, k {kind}, code long, at int, n int", work, 50_000)
