@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when a count has shown that it has at most so many rows.
@@ -44,9 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); a temporary one where it is unset."""
+    """The folder that the driver and all executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local session gets a temporary one; on a cluster that is an error, as machines share no such folder.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"lurescope-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -58,10 +63,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again, which ends its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *taken: str) -> str:
+    """A column name like ``name`` that none of ``taken`` is, whatever their case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def without_rows(df: DataFrame, gone: DataFrame, key: str, code: Column) -> DataFrame:
+    """The rows of df whose (key, code) isn't in ``gone``, a table of just those two columns; null keys are equal to null keys.
+
+    Both sides shuffle at every size, as what goes grows with df; the side with few rows has only keys and codes.
+    """
+    k, c = (fresh(n, *df.columns) for n in ("gone_key", "gone_code"))
+    side = gone.toDF(k, c)
+    return df.join(side, F.col(key).eqNullSafe(F.col(k)) & (code == F.col(c)), "left_anti")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count finds at most ``rows`` rows; else df, so that the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
