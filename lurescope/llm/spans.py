@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed, the hashes are joined over all documents, and a sentence that a
-run covers goes unless that run is the first of its kind, by key and then by place.
+Every run of several consecutive sentences is hashed, equal hashes of all documents are brought together, and a sentence
+that a run covers goes unless that run is the first of its kind, by key and then by place.
 
 A run has at least 20 words, or at least three sentences and ten words. From each sentence the shortest run that starts
 there and the shortest that ends there are taken, so that sentences of any length form runs, and that each sentence of a
@@ -16,15 +16,17 @@ from itertools import accumulate
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lurescope.llm.textops import map_rows
-from lurescope.runtime import ship
+from lurescope.runtime import fresh, ship
 
 #: A run has WORDS words at least, or FEW words and SENTENCES sentences.
 WORDS, FEW, SENTENCES = 20, 10, 3
+#: Runs that a worker keeps before it passes them on; this bounds memory, not results.
+HELD = 200_000
 
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
@@ -90,56 +92,71 @@ def covered_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """(key, code, sentences array<int>): for each row of docs that has any, the sentences to remove.
 
     ``code`` is a hash of the text, so that rows with a repeated key and different texts are told apart; rows that agree
-    in both count as one. Null and empty texts have no sentences. Rows with a null key come last.
+    in both count as one. Null and empty texts have no sentences. Rows with a null key come last. Texts are gone through
+    whole, one in memory at a time.
+
+    The runs are made once and dealt once. Each worker keeps the first place that it has seen of up to HELD runs, so that
+    a run which many texts have crosses the network once for each time that table fills, however often it occurs.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def work(rows: Iterator[dict]) -> Iterator[dict]:
+        firsts: dict[bytes, tuple] = {}
         for row in rows:
-            seen, again = set(), set()
-            for at, k, digest in runs(row["t"] or ""):
-                if digest in seen:
-                    again.update(range(at, at + k))
+            here, again = {}, set()
+            for at, n, digest in runs(row["t"] or ""):
+                if digest in here:
+                    again.update(range(at, at + n))
                 else:
-                    seen.add(digest)
-                    yield made(row, at, k, digest)
-            # A line that fills a text would be one hash at each place: what a text itself has before goes as runs of its
-            # own, each with an empty first place before the text.
-            for at in sorted(again):
+                    here[digest] = (row["k"] is None, row["k"], row["code"], at), n
+            for at in sorted(again):  # what a text itself has before; sentences side by side go as one
                 if at - 1 not in again:
-                    n = next(i for i in range(1, len(again) + 1) if at + i not in again)
-                    own = xxhash.xxh3_128_digest(f"{row['k']!r} {row['code']} {at}".encode("utf-8", "surrogatepass"))
-                    yield made(row, -1, 0, own)
-                    yield made(row, at, n, own)
-
-    def made(row: dict, at: int, n: int, digest: bytes) -> dict:
-        return {"h1": int.from_bytes(digest[:8], "little", signed=True), "h2": int.from_bytes(digest[8:], "little", signed=True), "k": row["k"], "code": row["code"], "at": at, "n": n}
+                    yield made(b"", (None, row["k"], row["code"], at), next(i for i in range(1, len(again) + 1) if at + i not in again))
+            for digest, (place, n) in here.items():
+                held = firsts.setdefault(digest, (place, n))
+                if held[0] < place:
+                    yield made(b"", place, n)
+                elif place < held[0]:
+                    yield made(b"", *held)
+                    firsts[digest] = place, n
+            if len(firsts) > HELD:
+                yield from (made(d, *first) for d, first in firsts.items())
+                firsts = {}
+        yield from (made(d, *first) for d, first in firsts.items())
+
+    def made(digest: bytes, place: tuple, n: int) -> dict:
+        """A run's first place so far or, without a digest, sentences that go for sure, dealt by a hash of their place."""
+        _, k, code, at = place
+        mixed = digest or xxhash.xxh3_128_digest(f"{code} {at}".encode())
+        return {"h1": int.from_bytes(mixed[:8], "little", signed=True), "h2": int.from_bytes(mixed[8:], "little", signed=True), "sure": not digest, "k": k, "code": code, "at": at, "n": n}
 
     source = docs.select(F.col(key).alias("k"), _code(text).alias("code"), F.col(text).alias("t"))
-    found = map_rows(source, f"h1 long, h2 long, k {kind}, code long, at int, n int", work, 50_000)
-    place = F.struct(F.col("k").isNull().alias("last"), "k", "code", "at")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("h1", "h2", "first")
-    later = found.join(first, ["h1", "h2"]).where(place > F.col("first"))
-    dropped = later.select("k", "code", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("sentence"))
-    return dropped.groupBy("k", "code").agg(F.sort_array(F.collect_set("sentence")).alias("sentences")).withColumnRenamed("k", key)
+    found = map_rows(source, f"h1 long, h2 long, sure boolean, k {kind}, code long, at int, n int", work, 50_000)
+    order = Window.partitionBy("h1", "h2").orderBy("sure", F.col("k").isNull(), "k", "code", "at")
+    later = found.withColumn("rank", F.rank().over(order)).where("sure OR rank > 1")
+    spans = later.groupBy("k", "code").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    each = F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))
+    return spans.select(F.col("k").alias(key), "code", F.array_sort(F.array_distinct(F.flatten(each))).alias("sentences"))
 
 
 def span_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
     """docs with repeated sentences taken out of ``text``; with ``count``, that column gets the new length.
 
-    All rows stay, also those whose text becomes empty; other columns are unchanged. Null texts stay null.
+    All rows stay, also those whose text becomes empty; other columns are unchanged, whatever their names. Null texts stay
+    null. Of texts that share a run, the one with the least key keeps it (a null key counts as the greatest); rows that
+    repeat key and text keep the same sentences. An empty table gives an empty one.
     """
     dropped = covered_sentences(docs, key, text)
     names = docs.columns
     ship(docs.sparkSession)
 
-    marked = docs.withColumn("_code", _code(text))
-    side = dropped.select(F.col(key).alias("_key"), F.col("code").alias("_code2"), F.col("sentences").alias("_drop"))
-    joined = marked.join(side, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_code") == F.col("_code2")), "left").drop("_key", "_code", "_code2")
-    cut = joined.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.pandas_udf(_without, StringType())(F.col(text), F.col("_drop"))))
+    k, c, drop = (fresh(n, *names) for n in ("span_key", "span_code", "span_drop"))
+    joined = docs.join(dropped.toDF(k, c, drop), F.col(key).eqNullSafe(F.col(k)) & (_code(text) == F.col(c)), "left")
+    cut = F.pandas_udf(_without, StringType())(F.when(F.col(drop).isNotNull(), F.col(text)), F.col(drop))
+    joined = joined.withColumn(text, F.when(F.col(drop).isNull(), F.col(text)).otherwise(cut))
     if count:
-        cut = cut.withColumn(count, F.length(text).cast("long"))
-    return cut.select(*names)
+        joined = joined.withColumn(count, F.length(text).cast("long"))
+    return joined.select(*names)
 
 
 def _code(text: str) -> Column:
