@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from lurescope.llm.chunked import ChunkedEncoder
 from lurescope.llm.textops import map_rows
-from lurescope.runtime import ship, staged
+from lurescope.runtime import fresh, ship, staged
 
 SIZE, END_ID = 1024, 2
+#: Slices whose counts are summed up together.
+GROUP = 1000
 
 
 _encoders: dict[str, ChunkedEncoder] = {}
@@ -231,19 +233,23 @@ def pack(found: DataFrame, key: str = "doc_id", size: int = SIZE, slices: int |
     spark = found.sparkSession
     counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # one row a length, at most size rows
     table = places(plan(counts, size))
-    # Within a length, pieces are numbered by slice and then within the slice; slices are small enough to sort.
+    # Within a length, pieces are numbered by slice and then within the slice; slices are small enough to sort. Counts of
+    # slices are summed up within groups of GROUP slices, and those of groups, so that no task sums up all slices.
     slices = slices or max(1, -(-sum(counts.values()) // 5_000))
-    part = F.pmod(F.xxhash64(key, "piece", "start"), F.lit(slices))
-    cut = found.withColumn("_slice", part)
-    before = cut.groupBy("length", "_slice").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("length", "_slice").orderBy(key, "piece", "start", "ids_crc32")) - 1
-    ranked = cut.withColumn("_within", within).join(before.drop("count"), ["length", "_slice"])
+    at, group, before, within = (fresh(n, *found.columns) for n in ("pack_slice", "pack_group", "pack_before", "pack_within"))
+    cut = found.withColumn(at, F.pmod(F.xxhash64(key, "piece", "start"), F.lit(slices)))
+    sums = cut.groupBy("length", at).agg(F.count("*").alias("n")).withColumn(group, F.floor(F.col(at) / GROUP))
+    earlier = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("length", group).agg(F.sum("n").alias("n")).select("length", group, earlier(["length"], group).alias(before))
+    sums = sums.withColumn(within, earlier(["length", group], at)).join(groups, ["length", group]).select("length", at, (F.col(before) + F.col(within)).alias(before))
+    number = F.row_number().over(Window.partitionBy("length", at).orderBy(key, "piece", "start", "ids_crc32")) - 1
+    ranked = cut.withColumn(within, number).join(sums, ["length", at])
     starts = spark.sparkContext.broadcast({int(n): (g["rank"].to_numpy(), g["sequence"].to_numpy(), g["offset"].to_numpy()) for n, g in table.groupby("length")})
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             sequence, offset = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-            rank = (rows["_before"] + rows["_within"]).to_numpy(np.int64)
+            rank = (rows[before] + rows[within]).to_numpy(np.int64)
             lengths = rows["length"].to_numpy()
             for n in np.unique(lengths):
                 mine = lengths == n
@@ -251,7 +257,7 @@ def pack(found: DataFrame, key: str = "doc_id", size: int = SIZE, slices: int |
                 entry = np.searchsorted(first, rank[mine], "right") - 1
                 sequence[mine] = base[entry] + rank[mine] - first[entry]
                 offset[mine] = at[entry]
-            yield rows.drop(columns=["_before", "_within", "_slice"]).assign(sequence_id=sequence, offset=offset)[names]
+            yield rows.assign(sequence_id=sequence, offset=offset)[names]
 
     names = [*found.columns, "sequence_id", "offset"]
     schema = found.schema.add("sequence_id", "long").add("offset", "long")
