@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.llm.textops import map_rows, row_ids
-from lurescope.runtime import ship, small, staged
+from lurescope.runtime import ship, small, staged, without_rows
 
 ORDER = 4
 #: Characters of a shard; a longer text is a shard alone.
@@ -224,6 +224,5 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 def quality_filter(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    gone = judged(docs, labels, key, text, lang).where("NOT kept").select(F.col(key).alias("_key"), F.col("code").alias("_code")).distinct()
-    side = small(gone)
-    return docs.join(side, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_code")), "left_anti")
+    gone = judged(docs, labels, key, text, lang).where("NOT kept").select(key, "code").distinct()
+    return without_rows(docs, gone, key, F.xxhash64(text))

@@ -24,7 +24,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lurescope.llm.textops import map_rows, row_ids
-from lurescope.runtime import shards, small, staged
+from lurescope.runtime import fresh, shards, staged, without_rows
 
 #: Bytes of distinct contents that a table may hold before its file is partitioned again.
 TABLE_BYTES = 96 << 20
@@ -168,16 +168,17 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Where a key has several rows with the same text, one of them stays.
     """
-    groups = staged(exact_groups(docs, key, text), "groups").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_code"), "kept")
+    groups = staged(exact_groups(docs, key, text), "groups")
     digest = F.sha2(F.encode(_lowered(F.coalesce(F.col(text), F.lit(""))), "UTF-8"), 256)
-    marked = docs.withColumn("_digest", digest)
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_code"))
-    if not groups.groupBy("_key", "_code").count().where("count > 1").limit(1).count():
-        # Keys tell the rows apart, so that those which go are enough, and documents are shuffled only if those are many.
-        return marked.join(small(groups.where("NOT kept").drop("kept")), same, "left_anti").drop("_digest")
-    joined = marked.join(groups.where("kept").drop("kept"), same, "left_semi")
-    again = F.row_number().over(Window.partitionBy(key, "_digest").orderBy(text))
-    return joined.withColumn("_again", again).where("_again = 1").drop("_again", "_digest")
+    gone = groups.where("NOT kept").select(key, "text_sha256")
+    if not groups.groupBy(key, "text_sha256").count().where("count > 1").limit(1).count():
+        return without_rows(docs, gone, key, digest)  # keys tell the rows apart
+    # A key and a text that occur twice: all rows that agree in both go or stay together, and then one of them stays.
+    kept = groups.where("kept").select(key, "text_sha256")
+    left = without_rows(docs, without_rows(gone, kept, key, F.col("text_sha256")).distinct(), key, digest)
+    code, again = fresh("exact_code", *docs.columns), fresh("exact_again", *docs.columns)
+    left = left.withColumn(code, digest)
+    return left.withColumn(again, F.row_number().over(Window.partitionBy(key, code).orderBy(text))).where(F.col(again) == 1).drop(again, code)
 
 
 def _lowered(column):

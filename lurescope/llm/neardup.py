@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lurescope.llm.textops import WordHashes, map_rows, mixed, row_ids, shingles, words
 from lurescope.operators.components import connected_components
-from lurescope.runtime import small, staged
+from lurescope.runtime import staged, without_rows
 
 #: At a similarity of 0.8 a pair shares none of the bands with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
 BANDS, ROWS, BITS = 32, 5, 2
@@ -326,6 +326,5 @@ def _linked(members: list[dict], least: int, percent: int) -> Iterator[dict]:
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: one document of each group, with all its columns. Rows go by key and text, not by key alone."""
-    gone = _judged(docs, key, text, shingle, percent).where("NOT kept").select(F.col(key).alias("_key"), F.col("code").alias("_code")).distinct()
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_code"))
-    return docs.join(small(staged(gone, "gone")), same, "left_anti")
+    gone = _judged(docs, key, text, shingle, percent).where("NOT kept").select(key, "code").distinct()
+    return without_rows(docs, gone, key, F.xxhash64(text))
