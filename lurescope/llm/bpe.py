@@ -1,9 +1,13 @@
 """Byte-level BPE by recursive DuckDB queries.
 
-Each partition has a DuckDB of its own with the merge table. A batch's new words become token-position rows; a recursive
+Each worker has a DuckDB of its own with the merge table. A batch's new words become token-position rows; a recursive
 query joins them to the merge table and contracts the leftmost pair of least rank of each word until no word has such a
 pair. Words already known to the worker are not contracted again. Decoding joins ids to the vocabulary and aggregates
-the pieces in the order of their positions.
+the pieces in the order of their positions, a slice of positions at a time, so that a text of any length passes.
+
+The recursion keeps a row for each token and step of a word, which is the square of its length. A query therefore takes
+words whose squared lengths have a bounded sum, and words over LONG_WORD bytes (no word of prose, but encoded data and
+scripts without spaces) are contracted by a heap of pairs, which gives the same ids in n log n steps.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import tempfile
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,9 +30,10 @@ from lurescope.llm.textops import map_rows
 
 #: Memory that a worker's DuckDB may use, and characters of texts that it is given together.
 DUCKDB_MEMORY, BATCH_CHARS = "400MB", 3 << 20
-#: A query holds words of so many bytes together. The recursion keeps a row for each token and step, which for a word
-#: grows with the square of its length; longer words than LONG_WORD bytes are contracted by a heap instead.
-LONG_WORD, QUERY_BYTES = 512, 2 << 20
+#: Words over LONG_WORD bytes are contracted by a heap; a query's words have QUERY_ROWS as the sum of their squared lengths.
+LONG_WORD, QUERY_ROWS = 128, 6 << 20
+#: Tokens that one query decodes.
+DECODE_TOKENS = 400_000
 
 #: Places that a word's positions are numbered in: a token's place is word * PLACES + position, and positions stay dense.
 PLACES = 1 << 24
@@ -112,7 +118,9 @@ class Codec:
         self.ranks = ranks = load_ranks(path)
         self.pattern, self.by_letters = regex.compile(pattern), pattern == public_tokenizers.PATTERN
         self.words, self.chunked = Cache(400_000), ChunkedEncoder(self._learn)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY})
+        # What DuckDB can't hold goes to the task's scratch folder, which is removed when the worker ends.
+        self.scratch = tempfile.TemporaryDirectory(prefix="bpe-")
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": self.scratch.name})
         merges = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._table("merges", pair=[(m[0] << 24) + m[1] for m in merges], merged=[m[2] for m in merges])
         # A byte string is held as text whose code points are its bytes, as DuckDB joins text but not bytes.
@@ -142,8 +150,8 @@ class Codec:
                 self.words[word] = np.array(contract_long(raw, self.ranks), "<u4").tobytes()
             else:
                 batch.append((word, raw))
-                size += len(raw)
-                if size > QUERY_BYTES:
+                size += len(raw) * len(raw)
+                if size > QUERY_ROWS:
                     self._contract(batch)
                     batch, size = [], 0
         self._contract(batch)
@@ -164,15 +172,17 @@ class Codec:
         self.words.update((word, whole[4 * a : 4 * b]) for (word, _), a, b in zip(batch, ends, ends[1:]))
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """The bytes that each list of ids stands for."""
-        counts = np.array([len(ids) // 4 for ids in encoded])
-        starts = np.repeat(np.cumsum(counts) - counts, counts)
-        ids = np.frombuffer(b"".join(encoded), "<u4").astype(np.int64)
-        self._table("ids", doc=np.repeat(np.arange(len(encoded)), counts), pos=np.arange(len(ids)) - starts, id=ids)
-        out = [b""] * len(encoded)
-        for doc, body in self.db.execute(DECODE).fetchall():
-            out[doc] = body.encode("latin-1")
-        return out
+        """The bytes that each list of ids stands for, from slices of at most DECODE_TOKENS ids over all lists."""
+        ends = np.cumsum([len(ids) // 4 for ids in encoded])
+        ids = np.frombuffer(b"".join(encoded), "<u4")
+        parts: list[list[bytes]] = [[] for _ in encoded]
+        for at in range(0, len(ids), DECODE_TOKENS):
+            mine = ids[at : at + DECODE_TOKENS].astype(np.int64)
+            pos = np.arange(len(mine))
+            self._table("ids", doc=np.searchsorted(ends, at + pos, "right"), pos=pos, id=mine)
+            for number, body in self.db.execute(DECODE).fetchall():
+                parts[number].append(body.encode("latin-1"))
+        return [b"".join(p) for p in parts]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -189,8 +199,8 @@ def bpe(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", tex
     """Per row of docs: key, n_tokens, ids_sha256, decoded_sha256, and with ``arrays`` also ids and decoded.
 
     Matches of the pattern are encoded separately; strings of special tokens are ordinary text. Null counts as empty;
-    an empty text has no tokens. Repeated rows are encoded each; other columns are not read. ``ranks_path`` is a file
-    that every executor has.
+    an empty text has no tokens. A text of any length is encoded and decoded whole. Repeated rows are encoded each; other
+    columns are not read. ``ranks_path`` is a file that every executor has.
     """
 
     def work(rows: Iterator[dict]) -> Iterator[dict]:
