@@ -1,9 +1,12 @@
 """Chat formatting with prefix-target expansion.
 
-Every assistant turn becomes an example: all turns before it are context, only its own text is trainable. The examples
-of a conversation are prefixes of one formatted stream, so they are kept as ends and target spans over its segments, one
-segment a turn. A conversation of n turns takes n segments and n spans, not the n * n turns that its examples hold
-together; ``example_texts`` writes them out for a trainer.
+Every assistant turn becomes an example of its own: all turns before it are context, and only its own text is trainable.
+The turns of a conversation are dealt together, in order, and folded into a stream; at each assistant turn the stream so
+far is written out as an example with the span of its target. What stands behind the last assistant turn is in no
+example, so that it follows in a last row without a target: no turn is lost.
+
+A conversation of n turns makes up to n examples of up to n turns, which is what the expansion is. A worker has one
+example in memory at a time, and the stream that it is a prefix of.
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. Within roles and texts the first character of every control string is
 replaced by an escape, and so are the escape character itself and, in roles, line feeds. Reading back is exact.
@@ -15,7 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.llm.textops import map_rows
@@ -44,92 +47,90 @@ def segment(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{body}{END}\n", len(head), len(head) + len(body)
 
 
-def parse(formatted: str) -> tuple[str, str]:
-    """Role and text of a segment."""
-    if not formatted.startswith(START) or not formatted.endswith(f"{END}\n"):
-        raise ValueError("not a formatted turn")
-    role, _, body = formatted[len(START) : -len(END) - 1].partition("\n")
-    return unescape(role), unescape(body)
-
-
-def segments(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """key, turn_no (from 0), segment, text_start, text_end (in the segment), trainable, at (of the segment in its stream).
-
-    Null roles and texts count as empty; rows are ordered by turn (null first), then role and text, so that ties and
-    repeated rows have one order. A null key is a conversation of its own. The positions are running sums by Spark's
-    window over a sorted, spillable partition; other columns are not read.
+def parse(formatted: str) -> Iterator[tuple[str, str]]:
+    """Role and text of each turn of a formatted text."""
+    at = 0
+    while at < len(formatted):
+        stop = formatted.find(f"{END}\n", at)
+        if not formatted.startswith(START, at) or stop < 0:
+            raise ValueError("not a formatted turn")
+        role, _, body = formatted[at + len(START) : stop].partition("\n")
+        yield unescape(role), unescape(body)
+        at = stop + len(END) + 1
+
+
+def expanded(rows: Iterator[dict]) -> Iterator[dict]:
+    """The examples of rows (k, role, text) that have each conversation's turns together and in order."""
+    now, parts, size, number, open_turns = object(), [], 0, 0, False
+
+    def rest() -> Iterator[dict]:
+        if open_turns:
+            yield {"k": now, "target_turn": None, "text": "".join(parts), "loss_start": None, "loss_end": None}
+
+    for row in rows:
+        if row["k"] != now:
+            yield from rest()
+            now, parts, size, number, open_turns = row["k"], [], 0, 0, False
+        made, start, end = segment(row["role"], row["text"])
+        parts.append(made)
+        open_turns = row["role"] != "assistant"
+        if not open_turns:
+            parts = ["".join(parts)]
+            yield {"k": now, "target_turn": number, "text": parts[0], "loss_start": size + start, "loss_end": size + end}
+        size += len(made)
+        number += 1
+    yield from rest()
+
+
+def _dealt(turns: DataFrame, key: str, order: str) -> DataFrame:
+    empty = F.lit("")
+    source = turns.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    return source.repartition("k").sortWithinPartitions("k", "o", "role", "text")
+
+
+def examples(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """The written-out examples: key, target_turn (from 0; null for what no example has), text, loss_start, loss_end (in code points).
+
+    Null roles and texts count as empty; turns are ordered by ``order`` (null first), then role and text, so that ties and
+    repeated rows have one order and each of them counts. Rows with a null key are a conversation of their own. An empty
+    table has no examples; long texts are kept whole; other columns are not read.
     """
-    source = turns.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def work(rows: Iterator[dict]) -> Iterator[dict]:
-        for row in rows:
-            made, start, end = segment(row["role"], row["text"])
-            yield row | {"segment": made, "text_start": start, "text_end": end, "chars": len(made)}
-
-    s = source.schema
-    made = map_rows(source, f"k {s['k'].dataType.simpleString()}, o {s['o'].dataType.simpleString()}, role string, text string, segment string, text_start long, text_end long, chars long", work)
-    w = Window.partitionBy("k").orderBy("o", "role", "text")
-    return made.select(
-        F.col("k").alias(key),
-        (F.row_number().over(w) - 1).cast("long").alias("turn_no"),
-        "segment",
-        "text_start",
-        "text_end",
-        (F.col("role") == "assistant").alias("trainable"),
-        (F.sum("chars").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("chars")).alias("at"),
-    )
-
-
-def examples(found: DataFrame, key: str = "conv_id") -> DataFrame:
-    """An example for each assistant turn: key, target_turn, and over the stream context_end, loss_start, loss_end, example_end.
-
-    Its text is the stream up to ``example_end``: whole turns up to the target's. Its loss mask is [loss_start, loss_end).
-    """
-    at = F.col("at")
-    return found.where("trainable").select(key, F.col("turn_no").alias("target_turn"), at.alias("context_end"), (at + F.col("text_start")).alias("loss_start"), (at + F.col("text_end")).alias("loss_end"), (at + F.length("segment")).alias("example_end"))
-
-
-def example_texts(found: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Each example written out: key, target_turn, text, loss_start, loss_end. Its size is that of all prefixes."""
-    turns = found.select(F.col(key).alias("_k"), F.col("turn_no").alias("_n"), "segment")
-    joined = examples(found, key).join(turns, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_n") <= F.col("target_turn")))
-    parts = joined.groupBy(key, "target_turn", "loss_start", "loss_end").agg(F.sort_array(F.collect_list(F.struct("_n", "segment"))).alias("parts"))
-    return parts.select(key, "target_turn", F.array_join("parts.segment", "").alias("text"), "loss_start", "loss_end")
+    kind = turns.schema[key].dataType.simpleString()
+    schema = f"k {kind}, target_turn long, text string, loss_start long, loss_end long"
+    return map_rows(_dealt(turns, key, order), schema, expanded, 200).withColumnRenamed("k", key)
 
 
-def digests(found: DataFrame, key: str = "conv_id") -> DataFrame:
-    """What a reader of the formatted output finds in each conversation.
+def digests(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """What a reader of the written-out examples finds in each conversation; ``examples`` says what odd rows count as.
 
-    key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (of all examples written out), stream_chars,
-    n_examples. Turns are parsed from the segments, and the text under the loss mask is cut out by the examples' spans
-    and unescaped. A hash needs its conversation in order; rows are sorted by Spark and streamed, none are collected.
+    key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (of all examples), n_examples. Each example is
+    written and read back before the next is, so that their sum is in no memory. Turns are parsed out of what an example
+    has beyond the one before, and the text under each loss mask is cut out and unescaped.
     """
-    kind = found.schema[key].dataType.simpleString()
-    spans = found.withColumn("example", F.when(F.col("trainable"), F.struct((F.col("at") + F.col("text_start")).alias("start"), (F.col("at") + F.col("text_end")).alias("end"), (F.col("at") + F.length("segment")).alias("stop"))))
-    dealt = spans.select(F.col(key).alias("k"), "turn_no", "segment", "at", "example").repartition("k").sortWithinPartitions("k", "turn_no")
+    kind = turns.schema[key].dataType.simpleString()
 
     def work(rows: Iterator[dict]) -> Iterator[dict]:
         now, state = object(), None
-        for row in rows:
-            if row["k"] != now:
+        for example in expanded(rows):
+            if example["k"] != now:
                 if state:
                     yield result(now, state)
-                now, state = row["k"], {"turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "chars": 0, "formatted": 0, "stream": 0, "examples": 0}
-            role, text = parse(row["segment"])
-            state["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            state["n"] += 1
-            state["stream"] = row["at"] + len(row["segment"])
-            if span := row["example"]:
-                target = unescape(row["segment"][span["start"] - row["at"] : span["end"] - row["at"]])
+                now, state = example["k"], {"turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "chars": 0, "formatted": 0, "examples": 0, "read": 0}
+            for role, text in parse(example["text"][state["read"] :]):
+                state["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                state["n"] += 1
+            state["read"] = len(example["text"])
+            if example["target_turn"] is not None:
+                target = unescape(example["text"][example["loss_start"] : example["loss_end"]])
                 state["loss"].update(target.encode("utf-8", "surrogatepass"))
                 state["chars"] += len(target)
-                state["formatted"] += span["stop"]
+                state["formatted"] += len(example["text"])
                 state["examples"] += 1
         if state:
             yield result(now, state)
 
     def result(k, state: dict) -> dict:
-        return {"k": k, "n_turns": state["n"], "turns_sha256": state["turns"].hexdigest(), "loss_chars": state["chars"], "loss_sha256": state["loss"].hexdigest(), "formatted_chars": state["formatted"], "stream_chars": state["stream"], "n_examples": state["examples"]}
+        return {"k": k, "n_turns": state["n"], "turns_sha256": state["turns"].hexdigest(), "loss_chars": state["chars"], "loss_sha256": state["loss"].hexdigest(), "formatted_chars": state["formatted"], "n_examples": state["examples"]}
 
-    schema = f"k {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, stream_chars long, n_examples long"
-    return map_rows(dealt, schema, work).withColumnRenamed("k", key)
+    schema = f"k {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+    return map_rows(_dealt(turns, key, order), schema, work).withColumnRenamed("k", key)
