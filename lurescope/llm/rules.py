@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.textops import WordHashes, map_rows, mixed, windows
+from lurescope.llm.textops import WordHashes, map_rows, windows
+from lurescope.runtime import fresh
 
 #: Labelled rows that the list is learned from at most, taken in the order of a hash of their keys.
 LABELLED_ROWS = 20_000
@@ -220,12 +221,22 @@ def expression(rules: list[Rule]) -> Column:
 
 
 def labelled_sample(counted: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", rows: int = LABELLED_ROWS) -> pd.DataFrame:
-    """Features of at most ``rows`` labelled rows; of repeated keys in labels the lower label counts, nulls don't."""
-    marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("_label"))
+    """Features of at most ``rows`` labelled rows; of repeated keys in labels the lower label counts, nulls don't.
+
+    Labelled rows are counted first, and only those under the share of hashes that ``rows`` are of all, with a margin, are
+    sorted. So the driver gets about ``rows`` rows whatever the number of partitions. ``counted`` is read twice and must be
+    a table. Without labels the sample is empty.
+    """
+    mark = fresh("rules_label", *counted.columns)
+    marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias(mark))
     joined = counted.join(marks, key)
+    total = max(joined.count(), 1)
     order = F.xxhash64(key)
-    chosen = joined.orderBy(order, key).limit(rows)
-    return chosen.select(*[c.alias(n) for n, c in features().items()], (F.col("_label") == 0).alias("bad"), F.pmod(F.xxhash64(order), F.lit(3)).alias("fold")).toPandas()
+    least = -(1 << 63)
+    share = min(1.0, (1.1 * rows + 500) / total)
+    near = joined.where(order <= F.lit(min(least + int(share * (1 << 64)), (1 << 63) - 1)))
+    chosen = near.orderBy(order, key).limit(rows)
+    return chosen.select(*[c.alias(n) for n, c in features().items()], (F.col(mark) == 0).alias("bad"), F.pmod(F.xxhash64(order), F.lit(3)).alias("fold")).toPandas()
 
 
 def judged(counted: DataFrame, rules: list[Rule]) -> DataFrame:
