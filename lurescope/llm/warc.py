@@ -35,7 +35,7 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", body
     the smallest key is the response (the first in the stored order if that key occurs twice) and the others are
     revisits; shorter ones are all responses. A null key comes after all others. A null URL gives no target line, and
     line breaks in one are percent-encoded, so that it can't end its header line. Other columns are not read. ``pages`` is
-    read twice and must give the same rows in the same partitions: a table, not a computation with an open order.
+    read twice and must give the same rows, in any order and partitions. An empty table gives an empty archive.
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -45,7 +45,7 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", body
     rows = rows.select("id", "ord", "url", F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("bytes"), F.monotonically_increasing_id().alias("row"))
     rows = staged(rows, "warc-rows")
     place = F.struct(F.col("ord").isNull().alias("last"), "ord", "row", "id")
-    first = rows.groupBy("digest").agg(F.min(place).alias("first")).select("digest", F.col("first.row").alias("first_row"), F.col("first.id").alias("first_id"))
+    first = rows.groupBy("digest").agg(F.min(place).alias("first")).select("digest", F.col("first.row").alias("first_row"), F.col("first.id").alias("first_id"), F.col("first.ord").alias("first_ord"))
     marked = rows.join(first, "digest").withColumn("revisit", (F.col("row") != F.col("first_row")) & (F.col("bytes") >= least))
     uri = lambda name: F.concat(F.lit(f"<{_URN}"), F.coalesce(F.col(name), F.lit("null")), F.lit(">"))
     head = F.concat(
@@ -60,12 +60,16 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", body
         _line("Content-Length", F.when(F.col("revisit"), F.lit("0")).otherwise(F.col("bytes").cast("string"))),
     )
     marked.select(F.encode(head, "UTF-8").alias("head"), "digest", "revisit").write.parquet(f"{path}/headers")
-    # The payloads are read again, and all but the first of each digest are left out: no aggregation holds a payload, and
-    # the payloads are shuffled only where the others are too many to be broadcast.
-    numbered = pages.select(payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
-    numbered = numbered.withColumn("digest", F.sha2("payload", 256))
-    others = small(marked.where("row <> first_row").select("row", "digest"))
-    numbered.join(others, ["row", "digest"], "left_anti").select("digest", "payload").write.parquet(f"{path}/payloads")
+    # The payloads are read again, and rows whose key doesn't lead their digest are left out, so that no aggregation holds a
+    # payload. Only where a leading key has its payload twice, one of those rows is chosen.
+    numbered = pages.select(F.col(key).alias("ord"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    led = marked.select("ord", "digest", F.col("ord").eqNullSafe(F.col("first_ord")).alias("leads"))
+    others = small(led.where("NOT leads").select("ord", "digest").distinct())
+    same = numbered["ord"].eqNullSafe(others["ord"]) & (numbered["digest"] == others["digest"])
+    stored = numbered.join(others, same, "left_anti").select("digest", "payload")
+    if led.where("leads").groupBy("digest").count().where("count > 1").limit(1).count():
+        stored = stored.dropDuplicates(["digest"])
+    stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
 
