@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurescope.llm.textops import map_rows, row_ids
+from lurescope.llm.textops import map_rows
 from lurescope.runtime import ship, small, staged, without_rows
 
 ORDER = 4
@@ -71,6 +72,11 @@ def _batches(rows: Iterator[dict], most: int = SHARD_CHARS) -> Iterator[list[dic
         yield batch
 
 
+def _number(batch: list[dict]) -> int:
+    """A shard's number: 64 bits of a hash of its rows."""
+    return xxhash.xxh3_64_intdigest(repr([(r["k"], r["code"]) for r in batch]).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
     """(gram, c) of highest order over the column t, counted in each partition and then summed."""
 
@@ -131,20 +137,26 @@ def log_probability(gram: str, model: dict[str, tuple[float, float]], unseen: fl
 
 
 def scores(docs: DataFrame, model: DataFrame, unseen: float, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, code (a hash of the text), lang, chars, log_ppl (nats a character; null without text) of each row."""
+    """key, code (a hash of the text), lang, chars, log_ppl (nats a character; null without text) of each row.
+
+    Documents are read twice, for the shards and for what they ask. A shard's number is a hash of its own rows, so that
+    answers can only meet the texts that asked: if a task that is run again cuts its rows in another way, its shards have
+    other numbers, and a shard with text that meets no answer raises an error instead of getting a score.
+    """
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("code"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"))
 
+    trained = bool(model.limit(1).count())
+
     def shards(rows: Iterator[dict]) -> Iterator[dict]:
-        number, pack = row_ids(), zstandard.ZstdCompressor(level=6)
+        pack = zstandard.ZstdCompressor(level=6)
         for batch in _batches(rows):
-            yield {"shard": next(number), "body": pack.compress(pickle.dumps([(r["k"], r["code"], r["lang"], r["t"] or "") for r in batch], 5))}
+            yield {"shard": _number(batch), "body": pack.compress(pickle.dumps([(r["k"], r["code"], r["lang"], r["t"] or "") for r in batch], 5))}
 
     def requests(rows: Iterator[dict]) -> Iterator[dict]:
-        number = row_ids()  # the same batches, and so the same numbers, as those of the shards
         for batch in _batches(rows):
-            shard = next(number)
+            shard = _number(batch)
             found, _, _ = grams([r["t"] or "" for r in batch])
             wanted = set()
             for gram in found.tolist():
@@ -160,6 +172,8 @@ def scores(docs: DataFrame, model: DataFrame, unseen: float, key: str = "doc_id"
         for body in bodies["body"]:
             rows = pickle.loads(zstandard.decompress(body))
             found, number, ends = grams([t for *_, t in rows])
+            if trained and len(found) and not known:
+                raise RuntimeError("a shard without answers: the documents gave other rows when they were read again")
             each = np.array([log_probability(g, known, unseen) for g in found.tolist()] or [0.0])
             total = np.concatenate(([0.0], np.cumsum(each[number]) if len(number) else [0.0]))
             at = 0
