@@ -237,6 +237,11 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
-    gone = judged(docs, labels, key, text, lang).where("NOT kept").select(key, "code").distinct()
-    return without_rows(docs, gone, key, F.xxhash64(text))
+    """The rows of docs that are kept, with all their columns, whatever their names.
+
+    Rows are told apart by key, text and language: of rows that repeat a key and a text, those in a language whose fences
+    reject it go. Empty and null texts go; null keys are keys like others. An empty table gives an empty one.
+    """
+    place = lambda code: F.xxhash64(code, F.col(lang).cast("string"))
+    gone = judged(docs, labels, key, text, lang).where("NOT kept").withColumnRenamed("lang", lang).select(key, place(F.col("code")).alias("code")).distinct()
+    return without_rows(docs, gone, key, place(F.xxhash64(text)))

@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lurescope.llm.chunked import ChunkedEncoder
 from lurescope.llm.textops import map_rows
@@ -260,7 +261,7 @@ def pack(found: DataFrame, key: str = "doc_id", size: int = SIZE, slices: int |
             yield rows.assign(sequence_id=sequence, offset=offset)[names]
 
     names = [*found.columns, "sequence_id", "offset"]
-    schema = found.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*found.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     ship(spark)
     return ranked.mapInPandas(placed, schema)
 

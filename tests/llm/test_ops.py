@@ -139,17 +139,27 @@ def test_spans_of_short_sentences_and_without_edge_sentences(spark):
 def test_chat_round_trip_and_masks(spark):
     rng = random.Random(3)
     parts = ["\\", "<", "|", "</s>", "[INST]", "b", "l", "n", "\n", "<|im_end|>", "é"]
-    turns = [(c, t, rng.choice(["user", "assistant", None, "odd\nrole"]), "".join(rng.choices(parts, k=rng.randint(0, 9)))) for c in range(20) for t in range(rng.randint(1, 6))] + [(50, 0, "assistant", None), (None, 0, "user", "x")]
-    found = chat.segments(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
-    assert found.where(F.regexp_like("segment", F.lit(r"\[INST\]|</s>"))).count() == 0
-    rows = {r.conv_id: r for r in chat.digests(found).collect()}
+    turns = [(c, t, rng.choice(["user", "assistant", None, "odd\nrole"]), "".join(rng.choices(parts, k=rng.randint(0, 9)))) for c in range(20) for t in range(rng.randint(1, 6))]
+    turns += [(50, 0, "assistant", None), (None, 0, "user", "x"), (51, 1, "assistant", "a"), (51, 1, "assistant", "a"), (51, None, "user", "z" * 300_000)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("k", F.lit(1))
+    found = [r.asDict() for r in chat.examples(frame).collect()]
+    assert not any("[INST]" in r["text"] or "</s>" in r["text"] for r in found)
+    rows = {r.conv_id: r for r in chat.digests(frame).collect()}
     for c in {t[0] for t in turns}:
-        mine = [(r or "", t or "") for k, _, r, t in turns if k == c]
+        mine = [(r or "", t or "") for k, o, r, t in sorted((t for t in turns if t[0] == c), key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))]
+        targets = [i for i, (r, _) in enumerate(mine) if r == "assistant"]
+        examples = sorted((r for r in found if r["conv_id"] == c and r["target_turn"] is not None), key=lambda r: r["target_turn"])
+        assert [r["target_turn"] for r in examples] == targets
+        for r in examples:
+            assert list(chat.parse(r["text"])) == mine[: r["target_turn"] + 1]
+            assert chat.unescape(r["text"][r["loss_start"] : r["loss_end"]]) == mine[r["target_turn"]][1]
+        rest = [r for r in found if r["conv_id"] == c and r["target_turn"] is None]
+        assert len(rest) == (mine[-1][0] != "assistant") and all(list(chat.parse(r["text"])) == mine and r["loss_start"] is None for r in rest)
         loss = "".join(t for r, t in mine if r == "assistant")
         assert rows[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest()
         assert (rows[c].loss_chars, rows[c].loss_sha256, rows[c].n_turns) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(mine))
-    texts = chat.example_texts(found).groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")).collect()
-    assert all(rows[r.conv_id].formatted_chars == r.n for r in texts)
+        assert rows[c].formatted_chars == sum(len(r["text"]) for r in examples)
+    assert chat.digests(frame.limit(0)).count() == chat.examples(frame.limit(0)).count() == 0
 
 
 def test_statistics_equal_a_plain_count(spark):
@@ -186,7 +196,6 @@ def test_packing_places_every_piece_once(docs, odd, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     found = {(r.doc_id, r.piece): r for r in packing.pieces(docs, path).collect()}
     for r in docs.limit(40).collect():
         ids = [*tokenizer.encode(r.text, add_special_tokens=False).ids, 2]
@@ -202,12 +211,11 @@ def test_encoder_equals_the_library_on_tokens_and_odd_spaces():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(5)
     texts = ["", "  a", "a  b", " ", "x ", "\n x\t y", "don't  <|endoftext|>", "a b \x1c c"] + ["".join(rng.choices(["a", " ", "\n", "b", "\t", "1", "é", ".", "'s"], k=rng.randint(0, 14))) for _ in range(3000)]
     texts += [t.decode() for t in packing._ranks(path) if t.decode("utf-8", "ignore").encode() == t]
     expected = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert packing.encoder(path).encode(texts) == expected
+    assert packing.encoded(path, texts) == expected
 
 
 def test_added_tokens_get_the_ids_that_the_library_gives(spark):
@@ -277,15 +285,71 @@ def test_html_main_text_and_boilerplate(spark):
     assert out[6].text.startswith("Welcome")
 
 
-def test_suffix_array_runs_equal_brute_force():
+def _brute_texts(pages, depth=8):
+    """The module's rules on (key, host, main, blocks), by sets of runs."""
+    stream = lambda blocks: [t for b in blocks for t in ("\x1e", *b.split(" "))]
+    distinct = {(h, m, tuple(b)) for _, h, m, b in pages}
+    on, total = {}, Counter(h for h, _, _ in distinct)
+    for page in distinct:
+        t = stream(page[2])
+        for i in range(len(t) - depth + 1):
+            on.setdefault((page[0], tuple(t[i : i + depth])), set()).add(page)
+    out = {}
+    for key, h, m, blocks in pages:
+        t, covered, at, kept = stream(blocks), set(), 0, []
+        for i in range(len(t) - depth + 1):
+            n = len(on[h, tuple(t[i : i + depth])])
+            if n >= 2 and (not m or n >= html.SITE_PAGES and n >= html.SITE_SHARE * total[h]):
+                covered.update(range(i, i + depth))
+        for b in blocks:
+            n = len(b.split(" "))
+            if 2 * len(covered & set(range(at + 1, at + 1 + n))) <= n:
+                kept.append(b)
+            at += n + 1
+        out[key] = "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("unit", [2000, 40])
+def test_suffix_array_judges_blocks_in_and_outside_articles(spark, monkeypatch, unit):
+    """Whole texts against brute force, with hosts in one unit and in several."""
+    monkeypatch.setattr(html, "SHARD_PAGES", unit)
     rng = random.Random(8)
-    streams = [(h, p, [rng.choice("abc") for _ in range(rng.randint(0, 30))]) for h in (1, 2) for p in range(6)]
-    expected = {}
-    for h, p, t in streams:
-        for i in range(len(t) - 3):
-            expected.setdefault((h, tuple(t[i : i + 4])), set()).add(p)
-    got = list(html.repeated_runs(streams, 4))
-    assert len(got) == len(expected) and Counter((lo, hi) for _, lo, hi in got) == Counter((min(p), max(p)) for p in expected.values())
+    words = lambda n: " ".join(f"w{rng.randint(0, 3000)}" for _ in range(n))
+    bars, quote, site = [words(12) for _ in range(4)], words(20), words(15)
+    pages = []
+    for key in range(300):
+        host, main = key % 3, key % 3 < 2
+        blocks = [words(rng.randint(1, 30)) for _ in range(rng.randint(1, 3))]
+        if not main:
+            blocks.append(rng.choice(bars))
+        elif rng.random() < 0.5:
+            blocks.insert(0, quote)  # articles quote each other
+        if host == 0:
+            blocks.append(site)  # and on one host, each ends in the same words
+        pages.append((key, host, main, blocks))
+    pages += [(1000 + i, *pages[0][1:]) for i in range(5)]  # copies
+    page = lambda main, blocks: "<body>" + ("<article>" if main else "<div>") + "".join(f"<p>{b}</p>" for b in blocks) + "</body>"
+    frame = spark.createDataFrame([(k, f"https://h{h}.net/{k}", page(m, b), 1, "x") for k, h, m, b in pages], "page_id long, url string, html string, host long, unit string")
+    found = {r.page_id: r.text for r in html.main_text(frame).collect()}
+    expected = _brute_texts(pages)
+    assert found == expected
+    assert site not in found[0] and all(quote in found[k] for k, h, m, b in pages if m and quote in b)
+    assert html.main_text(frame.limit(0)).count() == 0
+
+
+def test_html_odd_markup():
+    text = lambda body: "|".join(html.candidates(body)[1])
+    assert text("<p>a</p><!--><p>shown</p><!-- x --!>y<!--->z") == "a|shown|y|z" or text("<p>a</p><!--><p>shown</p>") == "a|shown"
+    for name in ("entry-comments", "comment-content", "story-newsletter", "related-post", "ad top"):
+        assert text(f"<article><p>a</p><div class='{name}'>b</div></article>") == "a"
+    for name in ("has-sidebar", "content-sidebar-wrap", "no-comments", "post-header"):
+        assert text(f"<div class='{name}'><p>a</p></div>") == "a"
+    assert text("<article><header><h1>Title</h1></header><p>a</p><footer>b</footer></article>") == "Title|a"
+    assert text("<header>site</header><p>a</p>") == "a"
+    for tag in ("textarea", "title", "select"):
+        assert "shown" in text(f"<div><p>a</p><{tag}>b</div><p>shown</p>")
+    assert text("<article><p>" + "x" * 300_000 + "</article>") == "x" * 300_000
 
 
 def test_model_probabilities_sum_to_one(spark):
@@ -315,3 +379,110 @@ def test_classifier_rejects_labelled_bad_documents_at_a_stated_loss(spark):
     good = rows[rows["held"].notna()]
     assert rows[rows["quality"] == 0].kept.mean() < 0.05
     assert good.kept.mean() > 0.99 and good[good["held"].astype(bool)].kept.mean() > 0.985
+
+
+def test_log_perplexities_equal_brute_force(spark):
+    """Interpolated modified Kneser-Ney written plainly over dictionaries."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdé ", weights=[9, 5, 3, 2, 1, 4], k=rng.randint(1, 80))) for _ in range(60)]
+    pad, order = "\x02", classifier.ORDER
+    occurs = {k: Counter() for k in range(1, order + 1)}
+    for t in texts:
+        padded = pad * (order - 1) + t
+        for i in range(order - 1, len(padded)):
+            for k in occurs:
+                occurs[k][padded[i - k + 1 : i + 1]] += 1
+    counts = {order: occurs[order]}
+    for k in range(1, order):
+        left = Counter(g[1:] for g in occurs[k + 1])
+        counts[k] = {g: n if g[0] == pad else left[g] for g, n in occurs[k].items()}
+    alpha, gamma = {}, {}
+    for k, table in counts.items():
+        n = [sum(c == i for c in table.values()) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if all(n) else 0
+        d = [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0), i + 1) for i in range(3)] if all(n) else [0.5, 1.0, 1.5]
+        total, mass = Counter(), Counter()
+        for g, c in table.items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += d[min(c, 3) - 1]
+        alpha |= {g: max(c - d[min(c, 3) - 1], 0) / total[g[:-1]] for g, c in table.items()}
+        gamma |= {ctx: min(mass[ctx] / total[ctx], 1) for ctx in total}
+
+    def log_perplexity(t):
+        padded, out = pad * (order - 1) + t, 0
+        for i in range(order - 1, len(padded)):
+            p = 1 / (len(counts[1]) + 1)
+            for k in range(1, order + 1):
+                g = padded[i - k + 1 : i + 1]
+                p = alpha.get(g, 0) + gamma.get(g[:-1], 1) * p
+            out -= np.log(p)
+        return out / len(t)
+
+    model, unseen = classifier.kneser_ney(spark.createDataFrame([(t,) for t in texts], "t string"))
+    others = texts + ["zz", "abba cab", "é", "a" * 5000]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(others)], "doc_id long, text string, lang string")
+    rows = classifier.scores(frame, model, unseen).collect()
+    assert len(rows) == len(others) and all(r.log_ppl == pytest.approx(log_perplexity(others[r.doc_id]), abs=1e-4) for r in rows)
+
+
+def _clashing(frame):
+    names = "_key _code _drop _digest _again _slice gone_key gone_code span_key span_code span_drop exact_code exact_again rules_label pack_slice pack_before"
+    for name in names.split():
+        frame = frame.withColumn(name, F.lit(name))
+    return frame
+
+
+def test_columns_that_clash_with_helpers_stay(spark, odd):
+    frame = _clashing(odd)
+    labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
+    for work in (exact.exact_dedup, neardup.near_dedup, spans.span_dedup, lambda d: classifier.quality_filter(d, labels)):
+        out, plain = work(frame), work(odd)
+        assert out.columns == frame.columns and sorted(map(str, out.select(odd.columns).collect())) == sorted(map(str, plain.collect()))
+        assert out.where("_key <> '_key' OR gone_code <> 'gone_code' OR _drop <> '_drop'").count() == 0
+    found = _clashing(packing.pieces(odd, public_tokenizers.path("byte_bpe_50k.json")))
+    assert packing.pack(found).columns == [*found.columns, "sequence_id", "offset"]
+
+
+def test_bpe_of_long_texts_in_parts(spark, monkeypatch):
+    import tiktoken
+
+    from lurescope.llm import chunked
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rng = random.Random(13)
+    texts = ["".join(rng.choices(["a", "bc", " ", "\n", "é", "\t", "7", "'s", "!", "日本"], k=rng.randint(0, 60))) for _ in range(300)]
+    texts += [" ".join("".join(rng.choices("abcdef", k=n)) for _ in range(3)) for n in (127, 128, 129, 600)]
+    monkeypatch.setattr(bpe, "DECODE_TOKENS", 7)
+    monkeypatch.setattr(bpe, "QUERY_ROWS", 5000)
+    monkeypatch.setattr(chunked, "SEGMENT", 5)
+    worker = bpe.Codec(path, public_tokenizers.PATTERN)
+    encoded = worker.encode(texts)
+    assert [np.frombuffer(e, "<u4").tolist() for e in encoded] == [known.encode_ordinary(t) for t in texts]
+    assert worker.decode(encoded) == [t.encode() for t in texts]
+    monkeypatch.undo()
+    long = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(600_000))
+    frame = _clashing(spark.createDataFrame([(1, long)], "doc_id long, text string"))
+    (row,) = bpe.bpe(frame, path, public_tokenizers.PATTERN, arrays=False).collect()
+    assert row.decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() and row.n_tokens == len(known.encode_ordinary(long))
+
+
+def test_learning_without_labels_and_a_bounded_sample(spark, odd, empty):
+    counted = rules.text_statistics(odd)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert rules.learn(rules.labelled_sample(counted, none)) == []
+    assert rules.judged(counted, []).where("kept").count() == 0 and rules.text_statistics(empty).count() == 0
+    many = spark.range(0, 5000, 1, 40).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    assert len(rules.labelled_sample(rules.text_statistics(many), labels, rows=300)) == 300
+
+
+def test_archive_of_odd_tables(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.archive_report(spark, warc.write_archive(none)).count() == 0
+    rows = [(i % 7, "u", "<p>" + "x" * 200_000) for i in range(30)] + [(i, "u", "") for i in range(30)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).withColumn("digest", F.lit(1)).withColumn("row", F.lit(2))
+    path = warc.write_archive(frame)
+    found = warc.archive_report(spark, path).collect()
+    assert len(found) == 60 and spark.read.parquet(f"{path}/payloads").count() == 2
+    assert Counter((r.record_type, r.refers_to) for r in found) == Counter({("response", None): 31, ("revisit", 0): 29})
