@@ -12,6 +12,12 @@ RISKY_EXTENSIONS = (
     "lnk", "iso", "img", "vhd", "vhdx", "one", "chm", "reg", "docm", "xlsm", "pptm", "xlam", "dotm", "xll", "svg", "url", "appx",
 )
 ARCHIVE_EXTENSIONS = ("zip", "rar", "7z", "gz", "tar", "cab", "ace", "arj", "tgz")
+#: Extensions of files that a link may download, run at once or packed.
+RUNNABLE_DOWNLOADS = (
+    "exe", "scr", "js", "jse", "vbs", "vbe", "wsf", "hta", "msi", "bat", "cmd", "ps1", "lnk", "iso", "img", "vhd", "vhdx", "jar", "one", "appx", "msix",
+    "cpl",
+)
+PACKED_DOWNLOADS = ("zip", "rar", "7z", "apk", "dmg", "gz", "tgz", "cab", "ace", "arj")
 #: Top-level domains of much abuse, and names that no public resolver has.
 SUSPICIOUS_TLDS = (
     "zip", "mov", "xyz", "top", "click", "link", "icu", "cfd", "rest", "gq", "tk", "ml", "cf", "ga", "work", "fit", "monster", "quest", "sbs", "buzz",
