@@ -23,6 +23,11 @@ IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 PHONE = r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: expressions that use one several times would repeat its whole tree."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def refang(text: Column) -> Column:
     """Undoes the usual ways of writing links so that they can't be clicked; in this order."""
     rules = (
@@ -54,8 +59,7 @@ def host_of(url: Column) -> Column:
 
 
 def canonical_host(host: Column) -> Column:
-    bare = F.regexp_replace(F.lower(F.coalesce(host, F.lit(""))), r"\.+$", "")
-    return F.coalesce(ipv4(bare), bare)
+    return let(F.regexp_replace(F.lower(F.coalesce(host, F.lit(""))), r"\.+$", ""), lambda bare: F.coalesce(ipv4(bare), bare))
 
 
 def is_ip(host: Column) -> Column:
@@ -116,14 +120,16 @@ def ipv4(host: Column) -> Column:
         found = F.when(p.rlike("^0[xX][0-9a-fA-F]*$"), F.conv(digits, 16, 10)).when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10)).when(p.rlike("^(0|[1-9][0-9]*)$"), p)
         return F.when(F.length(found) <= 10, found.cast("long"))
 
-    values = F.transform(parts, number)
-    n = F.size(parts)
-    head, tail = F.slice(values, 1, F.greatest(n - 1, F.lit(0))), F.element_at(values, -1)
-    fits = F.forall(values, lambda v: v.isNotNull()) & F.forall(head, lambda v: v <= 255) & (tail < F.pow(F.lit(256), 5 - n))
-    high = F.aggregate(head, F.lit(0).cast("long"), lambda total, v: total * 256 + v) * F.pow(F.lit(256), 5 - n).cast("long")
-    total = high + tail
-    part = lambda shift: F.shiftrightunsigned(total, shift).bitwiseAND(F.lit(255)).cast("string")
-    return F.when((F.length(host) <= 64) & host.rlike("^[0-9]") & n.between(1, 4) & fits, F.concat_ws(".", part(24), part(16), part(8), part(0)))
+    def whole(values: Column) -> Column:
+        n = F.size(values)
+        head, tail, room = F.slice(values, 1, F.greatest(n - 1, F.lit(0))), F.element_at(values, -1), F.pow(F.lit(256), 5 - n)
+        fits = n.between(1, 4) & F.forall(values, lambda v: v.isNotNull()) & F.forall(head, lambda v: v <= 255) & (tail < room)
+        return F.when(fits, F.aggregate(head, F.lit(0).cast("long"), lambda total, v: total * 256 + v) * room.cast("long") + tail)
+
+    def dotted(total: Column) -> Column:
+        return F.when(total.isNotNull(), F.concat_ws(".", *[F.shiftrightunsigned(total, shift).bitwiseAND(F.lit(255)).cast("string") for shift in (24, 16, 8, 0)]))
+
+    return F.when((F.length(host) <= 64) & host.rlike("^[0-9]"), let(let(F.transform(parts, number), whole), dotted))
 
 
 def clean_url(raw: Column) -> Column:
@@ -139,13 +145,13 @@ def clean_url(raw: Column) -> Column:
         return F.when(loose[0] | loose[1] | loose[2], F.left(u, F.length(u) - 1)).otherwise(u)
 
     url = F.aggregate(F.sequence(F.lit(1), F.lit(BRACKETS)), url, cut)
-    return F.when(F.lower(url).startswith("www."), F.concat(F.lit("http://"), url)).otherwise(url)
+    return F.regexp_replace(url, r"^(?i)(?=www\.)", "http://")
 
 
 def usable_url(url: Column) -> Column:
     """http, https or ftp with a host that has a dot, is localhost or an address."""
-    host = host_of(url)
-    return url.rlike("(?i)^(https?|ftp)://") & (host != "") & (F.contains(host, F.lit(".")) | (host == "localhost") | is_ip(host))
+    good = let(host_of(url), lambda host: F.contains(host, F.lit(".")) | (host == "localhost") | is_ip(host))
+    return url.rlike("(?i)^(https?|ftp)://") & good
 
 
 def urls_from_text(text: Column) -> Column:
@@ -169,7 +175,13 @@ def query_value(url: Column, name: str) -> Column:
 
 def unwrap_link(url: Column) -> Column:
     """(inner, who, kind) of a link that a gateway rewrote or a redirector hides, else null."""
-    host, path = raw_host(url), path_of(url)
+    parts = F.struct(url.alias("url"), raw_host(url).alias("host"), path_of(url).alias("path"))
+    return let(let(parts, _wrapped), lambda out: F.when(usable_url(out["inner"]) & (out["inner"] != out["url"]), out))
+
+
+def _wrapped(parts: Column) -> Column:
+    """url, inner, who, kind of a wrapped link, else null; inner may be no link."""
+    url, host, path = parts["url"], parts["host"], parts["path"]
     on = lambda domain: (host == domain) | host.endswith(f".{domain}")
     google = host.rlike(r"(^|\.)google\.[a-z]{2,3}(\.[a-z]{2})?$")
     value = lambda name: query_value(url, name)
@@ -192,9 +204,9 @@ def unwrap_link(url: Column) -> Column:
     )
     out = None
     for test, inner, who, kind in rules:
-        made = F.struct(clean_url(inner).alias("inner"), F.lit(who).alias("who"), F.lit(kind).alias("kind"))
+        made = F.struct(inner.alias("inner"), F.lit(who).alias("who"), F.lit(kind).alias("kind"))
         out = F.when(test, made) if out is None else out.when(test, made)
-    return F.when(usable_url(out["inner"]) & (out["inner"] != url), out)
+    return let(out, lambda o: F.when(o.isNotNull(), F.struct(url.alias("url"), clean_url(o["inner"]).alias("inner"), o["who"].alias("who"), o["kind"].alias("kind"))))
 
 
 _BUCKET = (
@@ -214,8 +226,11 @@ def _stored(host: Column, path: Column) -> Column:
 
 def hosting_kind(url: Column) -> Column:
     """tunnel or IPFS, free hosting, file sharing, or empty."""
-    host = raw_host(url)
     path = F.coalesce(F.nullif(path_of(url), F.lit("")), F.lit("/"))
+    return let(F.struct(raw_host(url).alias("host"), path.alias("path")), lambda p: _kind_of(p["host"], p["path"]))
+
+
+def _kind_of(host: Column, path: Column) -> Column:
     bare = F.regexp_replace(host, r"^www\.", "")
     shared = _stored(host, path)
     for name, prefixes in K.FILE_SHARING:

@@ -6,16 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lurescope.operators.components import connected_components
+from lurescope.plans import knowledge as K
 
 #: Kinds that link only together with another kind, and members of a weak group at most.
 WEAK = ("subject", "display name", "originating IP")
 WEAK_MEMBERS = 200
+#: Message numbers that a range of campaigns is numbered in.
+RANGE = 1_000_000
 
 
-def platforms(hosts: DataFrame) -> DataFrame:
-    """(base, messages, hosts) of bases used by many: at least 5 hosts, and 0.6 of the number of messages. hosts: msg_id, base, host."""
+def platforms(hosts: DataFrame, known: tuple[str, ...] = K.KNOWN_PLATFORMS) -> DataFrame:
+    """(base, messages, hosts) of bases used by many: known ones, and those with at least 5 hosts and 0.6 of the number of messages. hosts: msg_id, base, host."""
     found = hosts.groupBy("base").agg(F.count_distinct("msg_id").alias("messages"), F.count_distinct("host").alias("hosts"))
-    return found.where((F.col("hosts") >= 5) & (F.col("hosts") >= 0.6 * F.col("messages")))
+    return found.where(F.col("base").isin(*known) | ((F.col("hosts") >= 5) & (F.col("hosts") >= 0.6 * F.col("messages"))))
+
+
+def demoted(hosts: DataFrame) -> DataFrame:
+    """(msg_id, kind, value): a domain trait for each message and base, or host traits where the base is a platform. hosts: msg_id, base, host."""
+    marked = hosts.join(platforms(hosts).select("base", F.lit(True).alias("platform")), "base", "left")
+    shared = F.coalesce("platform", F.lit(False))
+    return marked.select("msg_id", F.when(shared, "host").otherwise("domain").alias("kind"), F.when(shared, F.col("host")).otherwise(F.col("base")).alias("value")).distinct()
 
 
 def strong_edges(traits: DataFrame) -> DataFrame:
@@ -48,6 +58,30 @@ def campaigns(traits: DataFrame) -> DataFrame:
 
 
 def ranked(members: DataFrame) -> DataFrame:
-    """campaign, size, name (C1 for the largest); ties by the least message. Names need one order of all campaigns."""
+    """campaign, size, name (C1 for the largest); ties by the least message.
+
+    Campaigns of a size are numbered among themselves, after the number of larger ones, so that no task has all campaigns:
+    sizes are few, and those of a size are cut into ranges by their least message.
+    """
     sizes = members.groupBy("campaign").agg(F.count("*").alias("size"))
-    return sizes.withColumn("name", F.concat(F.lit("C"), F.row_number().over(Window.orderBy(F.desc("size"), "campaign"))))
+    cut = sizes.withColumn("part", F.floor(F.col("campaign") / RANGE))
+    parts = cut.groupBy("size", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("size"), "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("size", "part").orderBy("campaign"))
+    numbered = cut.withColumn("within", within).join(parts.select("size", "part", before.alias("before")), ["size", "part"])
+    return numbered.select("campaign", "size", F.concat(F.lit("C"), (F.col("before") + F.col("within")).cast("long").cast("string")).alias("name"))
+
+
+def cluster_report(members: DataFrame, messages: DataFrame, verdicts: tuple[str, ...]) -> DataFrame:
+    """campaign, size, senders, first_seen, last_seen, worst of each campaign. members: msg_id, campaign; messages: msg_id, sender, seen, verdict."""
+    rows = members.join(messages, "msg_id")
+    place = F.array_position(F.array(*map(F.lit, verdicts)), F.col("verdict"))
+    worst = F.element_at(F.array(*map(F.lit, verdicts)), F.min(place).cast("int"))
+    return rows.groupBy("campaign").agg(F.count("*").alias("size"), F.count_distinct("sender").alias("senders"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), worst.alias("worst"))
+
+
+def top_shared(members: DataFrame, traits: DataFrame, most: int = 25) -> DataFrame:
+    """campaign, kind, value, messages: traits that at least two messages of a campaign share, the most frequent first."""
+    shared = traits.distinct().join(members, "msg_id").groupBy("campaign", "kind", "value").agg(F.count("*").alias("messages")).where("messages >= 2")
+    w = Window.partitionBy("campaign").orderBy(F.desc("messages"), "kind", "value")
+    return shared.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")

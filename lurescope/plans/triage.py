@@ -31,7 +31,7 @@ def _rows(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
 
 
 @_query(f"""WITH {SQL_SIGNALS}, a AS (SELECT msg_id,
-    sum(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 0 END) + least(count(DISTINCT CASE WHEN severity = 'low' THEN lower(trim(split_part(label, ':', 1))) END), 3) AS score,
+    sum(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 0 END) + least(count(DISTINCT CASE WHEN severity = 'low' THEN split_part(label, ':', 1) END), 3) AS score,
     count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'high' AND family <> '') AS hf, count(DISTINCT CASE WHEN severity <> 'low' AND family <> '' THEN family END) AS n_families FROM s GROUP BY msg_id),
   b AS (SELECT m.msg_id, coalesce(score, 0) AS score, coalesce(n_high, 0) AS n_high, coalesce(hf, 0) AS hf, coalesce(n_families, 0) AS n_families FROM m LEFT JOIN a USING (msg_id))
   SELECT msg_id, CAST(score AS BIGINT) AS score, n_high, n_families, CASE WHEN n_high >= 2 OR (n_high >= 1 AND (score >= 8 OR (hf > 0 AND n_families >= 2))) OR (n_families >= 3 AND score >= 8) THEN 'LIKELY PHISHING' WHEN n_high >= 1 OR score >= 4 THEN 'SUSPICIOUS' ELSE 'NO STRONG INDICATORS' END AS verdict FROM b""")
@@ -205,12 +205,46 @@ def fair_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desk.fair_claim(rows.where("event_type <> 'click'"), rows.where("event_type = 'click'"), 14, 20).select("job", "workspace")
 
 
-@_query("SELECT user_id AS log, event_id AS n, sha256(coalesce(lag(event_type || value) OVER w, '') || chr(10) || (event_type || value)) AS link FROM (SELECT user_id, event_id, event_type, CAST(event_id AS VARCHAR) AS value FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+_SQL_CHAIN = """WITH RECURSIVE e AS (SELECT user_id AS log, event_id AS n, event_type || CAST(event_id AS VARCHAR) AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+  c(log, n, i, link) AS (SELECT log, n, i, sha256(chr(10) || body) FROM e WHERE i = 1 UNION ALL SELECT e.log, e.n, e.i, sha256(c.link || chr(10) || e.body) FROM c JOIN e ON e.log = c.log AND e.i = c.i + 1)"""
+
+
+@_query(_SQL_CHAIN + " SELECT log, n, link FROM c")
 def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("n"), F.concat("event_type", F.col("event_id").cast("string")).alias("body"))
     return desk.chain_links(rows).select("log", "n", "link")
 
 
+@_query(_SQL_CHAIN + " SELECT log, count(*) AS entries, min(n) FILTER (i >= 3) AS first_broken FROM c GROUP BY log")
+def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each log with forged links from its third entry on."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("n"), F.concat("event_type", F.col("event_id").cast("string")).alias("body"))
+    numbered = desk.chain_links(rows).withColumn("i", F.row_number().over(Window.partitionBy("log").orderBy("n")))
+    forged = numbered.select("log", "n", F.when(F.col("i") >= 3, F.lit("forged")).otherwise(F.col("link")).alias("link"))
+    return desk.verify_chain(rows.join(forged, ["log", "n"]))
+
+
+@_query("SELECT event_id, CASE WHEN event_type = 'click' AND ts < TIMESTAMP '2024-01-15' THEN CASE WHEN event_id % 4 >= 3 THEN 'failed' ELSE 'queued' END WHEN event_type = 'click' THEN 'running' ELSE 'done' END AS status FROM events")
+def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", "running").otherwise("done").alias("status"), F.col("ts").alias("heartbeat"), (F.col("event_id") % 4).alias("attempts"))
+    return desk.requeue(rows, F.lit("2024-01-15").cast("timestamp_ntz")).select("event_id", "status")
+
+
+@_query("SELECT c_custkey AS mailbox FROM customer WHERE c_custkey % 3 <> 0 AND (c_acctbal < 0 OR c_acctbal >= 5000) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def mailboxes_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.lit("2024-01-01").cast("date")
+    poll = F.when(F.col("c_acctbal") >= 0, F.date_add(start, F.when(F.col("c_acctbal") >= 5000, -1).otherwise(1)))
+    boxes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mailbox"), (F.col("c_custkey") % 3 != 0).alias("enabled"), poll.alias("next_poll"))
+    jobs = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("mailbox"))
+    return desk.mailboxes_due(boxes, jobs, start).select("mailbox")
+
+
+@_query("SELECT user_id AS batch, count(*) AS total, count(*) FILTER (event_type IN ('click', 'view')) AS open, count(*) FILTER (event_type IN ('click', 'view')) = 0 AS done FROM events GROUP BY user_id")
+def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "view", "running").otherwise("done")
+    return desk.batch_progress(table(spark, sf_dir, "events").select(F.col("user_id").alias("batch"), status.alias("status")))
+
+
 @_query("""SELECT tp, fn, fp, tn, round(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 4) AS recall, round(fp / nullif(CAST(fp + tn AS DOUBLE), 0), 4) AS false_positive_rate, round(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 4) AS precision
   FROM (SELECT count(*) FILTER (t AND f) AS tp, count(*) FILTER (t AND NOT f) AS fn, count(*) FILTER (NOT t AND f) AS fp, count(*) FILTER (NOT t AND NOT f) AS tn FROM (SELECT quality = 0 AS t, doc_id % 7 < 2 AS f FROM labels))""")
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

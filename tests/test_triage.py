@@ -5,8 +5,10 @@ import os
 import duckdb
 import pytest
 
-from lurescope.plans import triage
+from lurescope.plans import functions, rules, triage
 
+QUERIES = triage.QUERIES | rules.QUERIES | functions.QUERIES
+ORACLE_SQL = triage.ORACLE_SQL | rules.ORACLE_SQL | functions.ORACLE_SQL
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -18,10 +20,10 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(triage.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    found = triage.QUERIES[name](spark, SF)
-    expected = db.sql(triage.ORACLE_SQL[name])
+    found = QUERIES[name](spark, SF)
+    expected = db.sql(ORACLE_SQL[name])
     names = sorted(found.columns)
     assert names == sorted(expected.columns)
     rows = sorted(repr(tuple(r[c] for c in names)) for r in found.collect())
