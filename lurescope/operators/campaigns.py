@@ -21,9 +21,9 @@ def platforms(hosts: DataFrame, known: tuple[str, ...] = K.KNOWN_PLATFORMS) -> D
     return found.where(F.col("base").isin(*known) | ((F.col("hosts") >= 5) & (F.col("hosts") >= 0.6 * F.col("messages"))))
 
 
-def demoted(hosts: DataFrame) -> DataFrame:
+def demoted(hosts: DataFrame, known: tuple[str, ...] = K.KNOWN_PLATFORMS) -> DataFrame:
     """(msg_id, kind, value): a domain trait for each message and base, or host traits where the base is a platform. hosts: msg_id, base, host."""
-    marked = hosts.join(platforms(hosts).select("base", F.lit(True).alias("platform")), "base", "left")
+    marked = hosts.join(platforms(hosts, known).select("base", F.lit(True).alias("platform")), "base", "left")
     shared = F.coalesce("platform", F.lit(False))
     return marked.select("msg_id", F.when(shared, "host").otherwise("domain").alias("kind"), F.when(shared, F.col("host")).otherwise(F.col("base")).alias("value")).distinct()
 

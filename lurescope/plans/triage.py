@@ -10,6 +10,7 @@ from lurescope.operators import campaigns as C
 from lurescope.operators import desk, lookups, scoring
 from lurescope.plans.messages import SQL_MESSAGES, SQL_SIGNALS, SQL_TRAITS, messages, signals, traits
 from lurescope.runtime import table
+from lurescope.sources import sinks
 from lurescope.sources.sinks import shared_indicators
 from lurescope.streaming import intake
 
@@ -344,3 +345,64 @@ def ioc_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = messages(spark, sf_dir).select("msg_id", parts.alias("r")).select("msg_id", "r.*")
     ordered = F.sort_array(F.collect_list(F.struct("ord", "context")))
     return rows.groupBy("msg_id", "value").agg(F.array_join(F.transform(ordered, lambda x: x["context"]), ", ").alias("context"))
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = messages(spark, sf_dir)
+    verdict = F.when(F.col("msg_id") % 3 == 0, "MALICIOUS").when(F.col("msg_id") % 3 == 1, "SUSPICIOUS").otherwise("OTHER")
+    kinds = F.explode(F.array(F.struct(F.lit("domain").alias("type"), F.col("host").alias("value")), F.struct(F.lit("phone").alias("type"), F.lit("1").alias("value"))))
+    return rows.select(F.col("msg_id"), F.col("msg_id").alias("ord"), verdict.alias("verdict"), F.lit("link host").alias("context"), F.lit(None).cast("string").alias("filename"), F.col("subject"), F.lit("x.eml").alias("source_file"), kinds.alias("i")).select("*", "i.*").drop("i")
+
+
+@_query(f"WITH {SQL_MESSAGES} SELECT 'domain' AS type, host AS value, '[domain-name:value = ' || chr(39) || host || chr(39) || ']' AS pattern, CASE min(msg_id) % 3 WHEN 0 THEN 85 WHEN 1 THEN 40 ELSE 20 END AS confidence FROM m GROUP BY host")
+def stix_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.stix_indicators(_shared(spark, sf_dir)).select("type", "value", "pattern", "confidence")
+
+
+@_query(f"WITH {SQL_MESSAGES} SELECT msg_id, 'domain' AS type, host AS value FROM m")
+def misp_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.misp_attributes(_shared(spark, sf_dir))
+
+
+@_query(f"WITH {SQL_MESSAGES} SELECT 'domain' AS type, host AS value, replace(host, '.', '[.]') AS defanged, 'link host' AS context, count(*) AS n FROM m GROUP BY host")
+def csv_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sinks.csv_indicators(_shared(spark, sf_dir)).where("type = 'domain'")
+    return made.groupBy("type", "value", "defanged", "context").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT page_id AS name, octet_length(encode(html)) AS size, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL")
+def report_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.manifest(table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.col("page_id").alias("name"), F.encode("html", "UTF-8").alias("content")))
+
+
+@_query("SELECT lang AS batch, sha256(string_agg(h, chr(10) ORDER BY h)) AS stem FROM (SELECT lang, sha256(source) AS h FROM documents WHERE source IS NOT NULL) GROUP BY lang")
+def batch_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.batch_stem(table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("lang").alias("batch"), F.sha2("source", 256).alias("sha256")))
+
+
+@_query("""SELECT (SELECT count(*) FROM orders) AS copies, (SELECT count(DISTINCT o_custkey) FROM orders) AS mailboxes, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS unread,
+  (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0) AS replied, (SELECT count(*) FROM customer WHERE c_custkey % 7 = 0) AS errors, (SELECT count(*) FROM customer WHERE c_custkey % 4 > 2) AS incomplete""")
+def sweep_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mailbox"), F.when(F.col("c_custkey") % 7 == 0, F.lit("down")).alias("error"), F.when(F.col("c_custkey") % 4 > 2, 1).otherwise(0).alias("warnings"))
+    return sinks.sweep_totals(boxes, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("mailbox"), (F.col("o_orderstatus") != "O").alias("read"), (F.col("o_orderkey") % 5 == 0).alias("replied")))
+
+
+@_query(f"WITH {SQL_MESSAGES}, h AS (SELECT msg_id, regexp_extract(base, '[^.]*$') AS base, host FROM m), p AS (SELECT base FROM h GROUP BY base HAVING base = 'top' OR (count(DISTINCT host) >= 5 AND count(DISTINCT host) >= 0.6 * count(DISTINCT msg_id))) SELECT DISTINCT msg_id, CASE WHEN base IN (SELECT base FROM p) THEN 'host' ELSE 'domain' END AS kind, CASE WHEN base IN (SELECT base FROM p) THEN host ELSE base END AS value FROM h")
+def platform_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = messages(spark, sf_dir).select("msg_id", F.regexp_extract("base", r"[^.]*$", 0).alias("base"), "host")
+    return C.demoted(rows, ("top",))
+
+
+@_query(_SQL_CAMPAIGNS + """, s AS (SELECT c.campaign, t.kind, t.value, count(*) AS messages FROM t JOIN c USING (msg_id) GROUP BY ALL HAVING count(*) >= 2)
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY campaign ORDER BY messages DESC, kind, value) <= 25""")
+def campaign_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = traits(messages(spark, sf_dir))
+    return C.top_shared(C.campaigns(found), found)
+
+
+@_query(f"WITH {SQL_MESSAGES} SELECT msg_id, base LIKE '%.top' AS malicious FROM m")
+def malicious_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = messages(spark, sf_dir)
+    answers = rows.select("base").distinct().select(F.col("base").alias("value"), F.lit("ok").alias("status"), F.when(F.col("base").endswith(".top"), 2).otherwise(1).alias("malicious"))
+    bad = scoring.known_malicious(rows.select("msg_id", F.col("base").alias("value")), answers)
+    return scoring.scored(rows, signals(rows), bad).select("msg_id", (F.col("verdict") == "MALICIOUS").alias("malicious"))

@@ -8,21 +8,47 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lurescope.runtime import ship
 
 PARSED = (
-    "path string, ord int, msg_id string, size long, subject string, from_address string, to_address string, reply_to string, date_raw string, "
+    "path string, block long, ord long, msg_id string, size long, subject string, from_address string, to_address string, reply_to string, date_raw string, "
     "message_id string, text string, html string, attachments array<struct<filename:string,content_type:string,size:long,sha256:string>>, error string"
 )
 
 
 def read_mail(spark: SparkSession, path: str, limit: int = 64 << 20) -> DataFrame:
-    """path, content, length of the .eml and .mbox files under a folder; a larger one has no content and gives an error row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{eml,mbox}").load(path)
-    return files.select("path", F.when(F.col("length") <= limit, F.col("content")).alias("content"), "length")
+    """path, block, ord, content, length of each message of the .eml and .mbox files under a folder.
+
+    A mailbox of any size is cut at its ``From `` lines by the splittable text reader, so that its messages spread over
+    tasks; block is the place of the part of the file that a message was read in, and ord rises within a block. A single
+    message over ``limit`` bytes has no content and becomes an error row; the others of its mailbox are read.
+    """
+    inside = spark.read.option("recursiveFileLookup", "true")
+    single = inside.format("binaryFile").option("pathGlobFilter", "*.eml").load(path)
+    single = single.select("path", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("ord"), "content", "length")
+    boxes = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mbox").option("lineSep", "\nFrom ").text(path)
+    raw = F.col("value").cast("binary")
+    boxes = boxes.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"), raw.alias("raw"))
+    # Each part begins with the rest of its separator line.
+    body = F.when(F.expr("position(X'0A' IN raw)") > 0, F.expr("substring(raw, position(X'0A' IN raw) + 1)")).otherwise(F.lit(b""))
+    boxes = boxes.where(F.length("raw") > 0).withColumn("content", body).select("path", "block", "ord", "content", F.length("content").cast("long").alias("length"))
+    return single.unionByName(boxes).withColumn("content", F.when(F.col("length") <= limit, F.col("content")))
+
+
+def numbered(mail: DataFrame) -> DataFrame:
+    """mail with ``number``, a message's place in its file from 1, and ``label``, path#number."""
+    number = F.row_number().over(Window.partitionBy("path").orderBy("block", "ord"))
+    return mail.withColumn("number", number).withColumn("label", F.concat_ws("#", "path", F.col("number").cast("string")))
+
+
+def kind_of(content: Column) -> Column:
+    """msg for an Outlook container, eml for at least two header lines in the first 4 KB, else empty."""
+    head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
+    lines = F.regexp_count(head, F.lit(r"(?m)^[A-Za-z][A-Za-z0-9-]*:[ \t]"))
+    return F.when(F.hex(F.substring(content, 1, 8)) == "D0CF11E0A1B11AE1", F.lit("msg")).when(lines >= 2, F.lit("eml")).otherwise(F.lit(""))
 
 
 def split_mbox(data: bytes) -> list[bytes]:
@@ -58,30 +84,28 @@ def parse_message(raw: bytes) -> dict:
 
 
 def parse_mail(files: DataFrame) -> DataFrame:
-    """One row for each message of files (path, content, length); a message that can't be parsed is a row with an error."""
+    """One row for each message of ``read_mail``; a message that can't be parsed is a row with an error."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = _parse_datatype_string(PARSED)
     arrow = to_arrow_schema(schema)
 
-    def rows(path: str, content: bytes | None, length: int) -> Iterator[dict]:
-        empty = dict.fromkeys(schema.names)
-        if content is None:
-            yield empty | {"path": path, "ord": 0, "size": length, "error": "too large"}
-            return
-        for number, raw in enumerate(split_mbox(content) if content.startswith(b"From ") else [content]):
-            base = empty | {"path": path, "ord": number, "size": len(raw), "msg_id": hashlib.sha256(raw).hexdigest()}
-            try:
-                yield base | parse_message(raw)
-            except Exception as problem:  # any broken message is a row and no failure of the job
-                yield base | {"error": f"{type(problem).__name__}: {problem}"[:200]}
+    def parsed(row: dict) -> dict:
+        raw = row.pop("content")
+        base = dict.fromkeys(schema.names) | {"path": row["path"], "block": row["block"], "ord": row["ord"], "size": row["length"]}
+        if raw is None:
+            return base | {"error": "too large"}
+        base["msg_id"] = hashlib.sha256(raw).hexdigest()
+        try:
+            return base | parse_message(raw)
+        except Exception as problem:  # any broken message is a row and no failure of the job
+            return base | {"error": f"{type(problem).__name__}: {problem}"[:200]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1).to_pylist()[0]
-                yield pa.RecordBatch.from_pylist(list(rows(one["path"], one["content"], one["length"])), schema=arrow)
+            for i in range(0, batch.num_rows, 32):
+                yield pa.RecordBatch.from_pylist([parsed(row) for row in batch.slice(i, 32).to_pylist()], schema=arrow)
 
     ship(files.sparkSession)
-    return files.select("path", "content", "length").mapInArrow(run, schema)
+    return files.select("path", "block", "ord", "content", "length").mapInArrow(run, schema)

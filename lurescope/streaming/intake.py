@@ -7,21 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def once(stream: DataFrame, seen: str, key: str, checkpoint: str) -> StreamingQuery:
+def once(stream: DataFrame, seen: str, key: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Appends each message to the table at ``seen`` unless its key is there: batches are anti-joined with what is stored.
 
-    A batch that is run again finds its own rows and adds none, so that every key is stored once.
+    The table is partitioned by a hash of the key (``key_bucket``), and a batch reads only the keys of its own buckets. A
+    null key is a key like others, so that one message without a key is stored. A batch that is run again finds its own
+    rows and adds none.
     """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def store(batch: DataFrame, _: int) -> None:
         spark: SparkSession = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        new = batch.dropDuplicates([key]).withColumn("key_bucket", bucket)
         try:
-            new = new.join(spark.read.schema(batch.schema).parquet(seen).select(key), key, "left_anti")
+            stored = spark.read.schema(new.schema).parquet(seen)
         except Exception as problem:
             if "PATH_NOT_FOUND" not in str(problem):
                 raise
-        new.select(*batch.columns).write.mode("append").parquet(seen)
+        else:
+            mine = [r.key_bucket for r in new.select("key_bucket").distinct().collect()]  # one row a bucket
+            stored = stored.where(F.col("key_bucket").isin(mine)).select(F.col(key).alias("stored_key"), F.col("key_bucket").alias("stored_bucket"))
+            new = new.join(stored, F.col(key).eqNullSafe(F.col("stored_key")) & (F.col("key_bucket") == F.col("stored_bucket")), "left_anti")
+        new.select(*batch.columns, "key_bucket").write.mode("append").partitionBy("key_bucket").parquet(seen)
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
