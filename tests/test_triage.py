@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from lurescope.plans import functions, rules, triage
+from lurescope.plans import brands, functions, rules, triage
 
-QUERIES = triage.QUERIES | rules.QUERIES | functions.QUERIES
-ORACLE_SQL = triage.ORACLE_SQL | rules.ORACLE_SQL | functions.ORACLE_SQL
+QUERIES = triage.QUERIES | rules.QUERIES | functions.QUERIES | brands.QUERIES
+ORACLE_SQL = triage.ORACLE_SQL | rules.ORACLE_SQL | functions.ORACLE_SQL | brands.ORACLE_SQL
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
