@@ -7,9 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lurescope.functions import auth as A
 from lurescope.functions import text as T
+from lurescope.functions import wallets as W
 from lurescope.runtime import table
 
+_headers = lambda c: F.transform(F.split(c, "\n"), lambda line: F.struct(F.split_part(line, F.lit(": "), F.lit(1)).alias("name"), F.regexp_replace(line, "^[^:]*: ", "").alias("value")))
+_auth = lambda c: A.authentication(_headers(c))
+_row = lambda r: F.concat_ws(" ", r["result"], r["domain"], F.coalesce(r["aligned"].cast("string"), F.lit("-")))
+
+
+def _aligned(c: Column) -> Column:
+    return T.let(A.alignment(_auth(c), F.lit("news.shop.example"), F.lit("bounce.mailer.net")), lambda a: F.concat_ws("; ", a["status"], _row(a["spf"]), _row(a["dkim"]), a["dmarc"]["result"]))
+
+
+_AR = "Authentication-Results: "
+#: The receiver's two headers, another header, then claims in its name and in that of another server.
+_FORGED = f"Received: by mx\n{_AR}mx.our.example; spf=fail smtp.mailfrom=evil.example\n{_AR}mx.our.example; dkim=none\nSubject: x\n{_AR}MX.our.example; spf=pass; dkim=PASS\n{_AR}relay.example; dmarc=pass"
+#: A comment names another domain; the bulk mailer's own pass isn't aligned, the second signature is.
+_BULK = f"{_AR}mx.our.example; spf=pass (domain of a@other.example (x)) smtp.mailfrom=\"b@mailer.net\"; dkim=pass header.d=mailer.net; dkim=pass header.i=@shop.example"
+_SPF_NEAR = "Received-SPF: SoftFail; (x) envelope-from=\"u@Shop.example.\"; client-ip=1\nTo: a"
+_SPF_FAR = f"{_AR}mx; dkim=fail\nA: 1\nB: 2\nC: 3\nReceived-SPF: pass domain of u@shop.example designates 1"
+
 #: Name: (function, pairs of input and expected value). None is null.
 CASES: dict[str, tuple[Callable[[Column], Column], list[tuple[str | None, object]]]] = {
     "fn_refang": (T.refang, [("h**ps://a{.}net/x", "https://a.net/x"), ("HXXP[:]//b(.)org", "http://b.org"), ("me ( AT ) c[ dot ]com", "me @ c.com"), ("d\\.com[/]p", "d.com/p"), ("plain text", "plain text")]),
@@ -33,6 +52,12 @@ CASES: dict[str, tuple[Callable[[Column], Column], list[tuple[str | None, object
     "fn_signal_kind": (T.signal_kind, [("page on a[.]net", "page on D"), ("page on b[.]org", "page on D"), ("12 words (like this) in 'x': more: text", "N words () in '':"), ("No Change", "No Change")]),
     "fn_report_id": (T.report_id, [("0123456789abcdef0123", "PH-0123456789ABCDEF")]),
     "fn_name_fold": (T.name_fold, [("Team  42 Desk", "team # desk"), ("Al", "")]),
+    "fn_auth_results": (lambda c: T.let(_auth(c), lambda a: F.concat_ws(",", *[F.coalesce(a[m], F.lit("-")) for m in A.MECHANISMS], a["header"], a["receiver"])), [(_FORGED, "fail,none,-,-,Authentication-Results,mx.our.example"), (_BULK, "pass,pass,-,-,Authentication-Results,mx.our.example"), (_SPF_NEAR, "softfail,-,-,-,Received-SPF,"), (_SPF_FAR, "-,fail,-,-,Authentication-Results,mx"), (f"{_AR}spf=none; compauth=fail", "none,-,-,fail,Authentication-Results,"), ("To: a", "-,-,-,-,,"), (None, "-,-,-,-,,")]),
+    "fn_auth_forged": (lambda c: F.array_join(F.transform(_auth(c)["forged"], lambda f: F.concat_ws(" ", f["claim"], f["server"], f["impersonates"].cast("string"))), "; "), [(_FORGED, "spf=pass mx.our.example true; dkim=pass mx.our.example true; dmarc=pass relay.example false"), (_BULK, ""), ("To: a", "")]),
+    "fn_auth_checks": (lambda c: F.array_join(F.transform(_auth(c)["checks"], lambda k: F.concat_ws(" ", k["method"], k["result"], k["domain"])), "; "), [(_FORGED, "spf fail evil.example; dkim none "), (_BULK, "spf pass mailer.net; dkim pass mailer.net; dkim pass shop.example"), (_SPF_NEAR, "spf softfail shop.example"), (_SPF_FAR, "dkim fail "), (f"{_AR}mx; dmarc=pass header.from=-bad-", "dmarc pass ")]),
+    "fn_auth_trusted": (lambda c: F.coalesce(A.authentication(_headers(c), ("relay.example",))["dmarc"], F.lit("-")), [(_FORGED, "pass"), (_BULK, "-")]),
+    "fn_alignment": (_aligned, [(_BULK, "pass; pass mailer.net false; pass shop.example true; none"), (_FORGED, "fail; fail evil.example false; none  -; none"), (_SPF_FAR, "fail; none bounce.mailer.net false; fail  -; none"), (f"{_AR}mx; dmarc=fail; spf=pass smtp.mailfrom=shop.example", "fail; pass shop.example true; none  -; fail"), ("To: a", "unknown; -; -")]),
+    "fn_wallets": (lambda c: F.array_join(F.transform(W.wallets(c), lambda w: F.concat(w["currency"], F.lit(":"), F.substring(w["address"], 1, 6))), " "), [("to 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa or bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4.", "bitcoin:1A1zP1 bitcoin:bc1qw5"), ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5", ""), ("TR7NHqjeKQxGTCi8q8ZY4pL8otSzgjLj6t (0xde0B295669a9FD93d5F28D9Ec85E40f4cb697BAe)", "tron:TR7NHq ethereum:0xde0B"), ("0x0000000000000000000000000000000000000000", ""), ("bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj0 twice bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj0", "bitcoin:bc1p0x"), ("4" + "A" * 94, "monero:4AAAAA"), (None, "")]),
     "fn_csv_safe": (T.csv_safe, [("=1+1", "'=1+1"), ("-x", "'-x"), ("x=1", "x=1")]),
 }
 

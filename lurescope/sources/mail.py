@@ -15,7 +15,8 @@ from lurescope.runtime import ship
 
 PARSED = (
     "path string, block long, ord long, msg_id string, size long, subject string, from_address string, to_address string, reply_to string, date_raw string, "
-    "message_id string, text string, html string, attachments array<struct<filename:string,content_type:string,size:long,sha256:string>>, error string"
+    "message_id string, text string, html string, attachments array<struct<filename:string,content_type:string,size:long,sha256:string>>, "
+    "return_path string, headers array<struct<name:string,value:string>>, error string"
 )
 
 
@@ -64,6 +65,17 @@ def split_mbox(data: bytes) -> list[bytes]:
     return [b"".join(m) for m in out]
 
 
+def header_text(message: email.message.EmailMessage, name: str, value: object) -> str:
+    """A header's value unfolded; one of the authentication headers is decoded, and kept as written if that fails."""
+    raw = str(value).encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    if name.lower() in ("authentication-results", "received-spf"):
+        try:
+            raw = str(message.policy.header_fetch_parse(name, value))
+        except Exception:  # a broken header must not lose the others
+            pass
+    return " ".join(raw.split())
+
+
 def parse_message(raw: bytes) -> dict:
     message = email.message_from_bytes(raw, policy=email.policy.default)
     body = {"plain": None, "html": None}
@@ -78,9 +90,10 @@ def parse_message(raw: bytes) -> dict:
         else:
             data = part.get_payload(decode=True) or b""
             files.append({"filename": name, "content_type": part.get_content_type(), "size": len(data), "sha256": hashlib.sha256(data).hexdigest()})
+    headers = [{"name": name, "value": header_text(message, name, value)} for name, value in message.raw_items()]
     header = lambda name: None if message[name] is None else str(message[name])
     address = lambda name: email.utils.parseaddr(header(name) or "")[1].lower() or None
-    return {"subject": header("Subject"), "from_address": address("From"), "to_address": address("To"), "reply_to": address("Reply-To"), "date_raw": header("Date"), "message_id": header("Message-ID"), "text": body["plain"], "html": body["html"], "attachments": files}
+    return {"subject": header("Subject"), "from_address": address("From"), "to_address": address("To"), "reply_to": address("Reply-To"), "date_raw": header("Date"), "message_id": header("Message-ID"), "text": body["plain"], "html": body["html"], "attachments": files, "return_path": address("Return-Path"), "headers": headers}
 
 
 def parse_mail(files: DataFrame) -> DataFrame:

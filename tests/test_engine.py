@@ -149,3 +149,17 @@ def test_indicator_selection(spark):
     links = [(1, 0, "http://a.evil.top/x", False, False, False, True, False), (1, 1, "https://bit.ly/q", False, False, False, False, False), (1, 2, "https://bank.com/", False, False, True, False, True), (1, 3, "https://docs.google.com/forms/1", True, False, False, False, False), (1, 4, "http://printer.lan/", False, False, False, False, False), (2, 0, "http://c.top/", False, False, False, False, False)]
     found = scoring.indicators(scoring.indicator_rows(mail, spark.createDataFrame(links, kinds))).collect()
     assert {(r.msg_id, r.type, r.value) for r in found} == {(1, "url", "http://a.evil.top/x"), (1, "domain", "a.evil.top"), (1, "url", "https://bit.ly/q"), (1, "url", "https://docs.google.com/forms/1"), (1, "email", "x@evil.top"), (1, "domain", "evil.top"), (1, "email", "y@gmail.com"), (1, "ipv4", "9.9.9.9")}
+
+
+def test_headers_of_mail_reach_authentication_and_rules(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lurescope.functions.auth import authentication
+
+    folded = "Authentication-Results: mx.our.example;\r\n spf=pass smtp.mailfrom=a.net;\r\n dmarc=fail header.from=b.net\r\nReturn-Path: <U@a.net>\r\n"
+    encoded = "Authentication-Results: =?utf-8?B?bXguZXg7IHNwZj1mYWls?=\r\n"
+    for name, head in (("a", folded), ("b", encoded), ("c", "")):
+        (tmp_path / f"{name}.eml").write_bytes((head + "From: x@b.net\r\nSubject: s\r\n\r\ntext\r\n").encode())
+    found = parse_mail(read_mail(spark, str(tmp_path))).withColumn("auth", authentication(F.col("headers"))).orderBy("path")
+    rows = found.select("return_path", "auth.spf", "auth.dmarc", "auth.receiver", F.col("auth.checks.domain").alias("domains")).collect()
+    assert [tuple(r) for r in rows] == [("u@a.net", "pass", "fail", "mx.our.example", ["a.net", "b.net"]), (None, "fail", None, "mx.ex", [""]), (None, None, None, "", [])]
