@@ -163,3 +163,22 @@ def test_headers_of_mail_reach_authentication_and_rules(spark, tmp_path):
     found = parse_mail(read_mail(spark, str(tmp_path))).withColumn("auth", authentication(F.col("headers"))).orderBy("path")
     rows = found.select("return_path", "auth.spf", "auth.dmarc", "auth.receiver", F.col("auth.checks.domain").alias("domains")).collect()
     assert [tuple(r) for r in rows] == [("u@a.net", "pass", "fail", "mx.our.example", ["a.net", "b.net"]), (None, "fail", None, "mx.ex", [""]), (None, None, None, "", [])]
+
+
+def test_from_mail_to_signals(spark, tmp_path):
+    from lurescope.operators import catalogue
+    from lurescope.operators.facts import message_facts
+
+    forged = "Authentication-Results: mx.ex; spf=fail smtp.mailfrom=a.net\r\nX: y\r\nAuthentication-Results: mx.ex; dkim=pass\r\nAuthentication-Results: up.ex; dmarc=pass\r\nReply-To: z@other.org\r\n"
+    for name, head, text in (("a", forged, "Pay to 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa, see http://a.net/x"), ("b", "", "plain"), ("c", "", "x" * 900)):
+        (tmp_path / f"{name}.eml").write_bytes(f"{head}From: u@mail.a.net\r\nSubject: {name}\r\n\r\n{text}\r\n".encode())
+    facts = message_facts(parse_mail(read_mail(spark, str(tmp_path), 600))).cache()
+    rows = {r.subject: r for r in facts.collect()}
+    assert set(rows) == {"a", "b"}  # c is over the limit, so that it is an error row
+    assert (rows["a"].from_base, rows["a"].reply_base, rows["a"].n_urls, rows["a"].auth_seen) == ("a.net", "other.org", 1, True)
+    assert (rows["b"].forged_claims, rows["b"].wallets, rows["b"].auth_seen, rows["b"].spf) == ([], [], False, None)
+    found = catalogue.signals(facts, "message").join(facts.select("msg_id", "subject"), "msg_id").collect()
+    labels = {(r.subject, r["rule"]): r["label"] for r in found}
+    assert {rule for subject, rule in labels if subject == "a"} == {2, 3, 4, 10, 79}
+    assert labels["a", 79] == "bitcoin wallet address in the message" and not any(subject == "b" for subject, _ in labels)
+    facts.unpersist()
