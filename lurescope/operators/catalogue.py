@@ -181,7 +181,8 @@ RULES = (
     Rule(52, "file", "attachment", _if("arrays_overlap(pdf, array('open-action', 'auto-action'))"), "T1059.007,T1204.002", "concat('PDF ', filename, ' runs JavaScript')", "NOT inline AND array_contains(pdf, 'javascript')"),
     Rule(53, "file", "attachment", "medium", "T1027,T1204.002", "concat('PDF ', filename, ' carries an embedded file')", "NOT inline AND array_contains(pdf, 'embedded-file')"),
     Rule(54, "file", "attachment", "medium", "T1598.002", "concat('PDF ', filename, ' has a form that submits what is typed into it')", "NOT inline AND array_contains(pdf, 'submit-form')"),
-    Rule(55, "file", "attachment", "high", "T1203", "concat('RTF ', filename, ' carries an Equation Editor object')", "NOT inline AND exists(rtf, c -> c LIKE 'class-equation%')"),
+    Rule(55, "file", "attachment", "high", "T1203", "concat('RTF ', filename, ' carries an Equation Editor object')", "NOT inline AND arrays_overlap(rtf, array('class-equation.3', 'class-equation'))"),
+    Rule(56, "file", "attachment", "high", "T1203", "concat('RTF ', filename, ' carries an OLE object used by known exploits')", "NOT inline AND arrays_overlap(rtf, array('class-htmlfile', 'class-otkloadr.wrassembly'))"),
     Rule(57, "file", "attachment", "high", "T1221", "concat('RTF ', filename, ' loads a remote template when opened')", "NOT inline AND array_contains(rtf, 'remote-template')"),
     Rule(58, "file", "attachment", "high", "T1204.002", "concat('RTF ', filename, ' carries an embedded file (Package object)')", "NOT inline AND array_contains(rtf, 'class-package')"),
     Rule(59, "file", "attachment", "medium", "T1204.002", "concat('RTF ', filename, ' carries embedded OLE objects')", "NOT inline AND array_contains(rtf, 'ole-object') AND NOT array_contains(rtf, 'class-package')"),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lurescope.functions import auth as A
 from lurescope.functions import text as T
 from lurescope.functions import wallets as W
+from lurescope.operators import links as L
 from lurescope.runtime import table
+from lurescope.sources import markup as M
 
 _headers = lambda c: F.transform(F.split(c, "\n"), lambda line: F.struct(F.split_part(line, F.lit(": "), F.lit(1)).alias("name"), F.regexp_replace(line, "^[^:]*: ", "").alias("value")))
 _auth = lambda c: A.authentication(_headers(c))
@@ -29,6 +31,15 @@ _BULK = f"{_AR}mx.our.example; spf=pass (domain of a@other.example (x)) smtp.mai
 _SPF_NEAR = "Received-SPF: SoftFail; (x) envelope-from=\"u@Shop.example.\"; client-ip=1\nTo: a"
 _SPF_FAR = f"{_AR}mx; dkim=fail\nA: 1\nB: 2\nC: 3\nReceived-SPF: pass domain of u@shop.example designates 1"
 
+#: Markup that hides text by an attribute, a style, a class rule and a box of no size; only the third part is a word's.
+_HIDING = "<style>.pre{font-size:0px}</style><p>Pay<span class=Pre>x1</span>Pal <b hidden>deep</b> note</p><div style='max-height:0; overflow: hidden'>low</div>end"
+_LINKED = "<a href=' https://a.net/q '>Go <b>now</b></a><a>none</a><img src=p.png background=b.png><form action=/in method=POST><input type=PASSWORD></form><meta http-equiv=Refresh content='5; URL=http://m.net/'><script>top.location.href = 'http://s.net/1'; location.assign(\"http://s.net/2\")</script>"
+_WORDS = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60))
+_WRAPPED = "https://na01.safelinks.protection.outlook.com/?url=https%3A%2F%2Fwww.google.com%2Furl%3Fq%3Dhttps%253A%252F%252Fa.net%252Fx"
+_seen = lambda c: M.read_markup(c)
+_layers = lambda c: F.array_join(F.transform(L.unwrapped(F.struct(F.lit("body-text").alias("source"), c.alias("url"), F.lit("t").alias("shown"))), lambda k: F.concat_ws("|", *[k[n] for n in ("source", "url", "shown", "redirect_to")])), " ")
+_raw = lambda c: F.array_join(F.transform(L.raw_links(F.lit("see www.z.org"), _seen(c)), lambda k: F.concat_ws(" ", k["source"], k["url"], k["shown"])), "; ")
+
 #: Name: (function, pairs of input and expected value). None is null.
 CASES: dict[str, tuple[Callable[[Column], Column], list[tuple[str | None, object]]]] = {
     "fn_refang": (T.refang, [("h**ps://a{.}net/x", "https://a.net/x"), ("HXXP[:]//b(.)org", "http://b.org"), ("me ( AT ) c[ dot ]com", "me @ c.com"), ("d\\.com[/]p", "d.com/p"), ("plain text", "plain text")]),
@@ -58,6 +69,18 @@ CASES: dict[str, tuple[Callable[[Column], Column], list[tuple[str | None, object
     "fn_auth_trusted": (lambda c: F.coalesce(A.authentication(_headers(c), ("relay.example",))["dmarc"], F.lit("-")), [(_FORGED, "pass"), (_BULK, "-")]),
     "fn_alignment": (_aligned, [(_BULK, "pass; pass mailer.net false; pass shop.example true; none"), (_FORGED, "fail; fail evil.example false; none  -; none"), (_SPF_FAR, "fail; none bounce.mailer.net false; fail  -; none"), (f"{_AR}mx; dmarc=fail; spf=pass smtp.mailfrom=shop.example", "fail; pass shop.example true; none  -; fail"), ("To: a", "unknown; -; -")]),
     "fn_wallets": (lambda c: F.array_join(F.transform(W.wallets(c), lambda w: F.concat(w["currency"], F.lit(":"), F.substring(w["address"], 1, 6))), " "), [("to 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa or bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4.", "bitcoin:1A1zP1 bitcoin:bc1qw5"), ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5", ""), ("TR7NHqjeKQxGTCi8q8ZY4pL8otSzgjLj6t (0xde0B295669a9FD93d5F28D9Ec85E40f4cb697BAe)", "tron:TR7NHq ethereum:0xde0B"), ("0x0000000000000000000000000000000000000000", ""), ("bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj0 twice bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj0", "bitcoin:bc1p0x"), ("4" + "A" * 94, "monero:4AAAAA"), (None, "")]),
+    "fn_html_visible": (lambda c: _seen(c)["visible"], [(_HIDING, "PayPal note end"), ("a &amp; b<br>c<!-- no --><script>x</script>d", "a & b cd"), ("1 < 2 <b>3</b", "1 < 2 3</b"), ("", ""), (None, None)]),
+    "fn_html_hidden": (lambda c: _seen(c)["hidden"], [(_HIDING, "x1 deep low"), ("<p style='opacity:0.4'>a</p><p style='opacity: 0'>b</p>", "b"), ("<br hidden>a<b hidden/>c", "")]),
+    "fn_html_splits": (lambda c: F.concat_ws(",", *[_seen(c)[n].cast("string") for n in ("hidden_splits", "tag_splits")]), [(_HIDING, "1,0"), ("T<i></i>h<i></i>e<p>x</p>y", "0,2"), ("a<b hidden>,</b>b <b hidden>z</b> c", "0,1"), ("a<b hidden>z</b><i> </i>c", "1,0"), ("plain", "0,0")]),
+    "fn_html_filler": (lambda c: _seen(c)["hidden_filler"].cast("long"), [(f"<p hidden>{_WORDS}</p>shown", 360), (f"<p hidden>{_WORDS}</p>{_WORDS}", 0), ("<p hidden>short</p>", 0)]),
+    "fn_html_claim": (lambda c: _seen(c)["hidden_claim"], [("<i hidden>This is a  Safe Email, friend</i>x", "This is a Safe Email, friend"), ("<i hidden>harmless</i>harmless", ""), ("<i hidden>as an aid</i>", "")]),
+    "fn_html_anchors": (lambda c: F.array_join(F.transform(_seen(c)["anchors"], lambda a: F.concat_ws(" ", a["href"], a["shown"])), "; "), [(_LINKED, "https://a.net/q Go now"), ("<A HREF=x>1<a href='y'>2</a>3", "x 1; y 23"), ("none", "")]),
+    "fn_html_loads": (lambda c: F.array_join(F.concat(_seen(c)["resources"], _seen(c)["redirects"]), " "), [(_LINKED, "p.png b.png http://m.net/ http://s.net/1 http://s.net/2"), ("<iframe src>", "")]),
+    "fn_html_forms": (lambda c: F.array_join(F.transform(_seen(c)["forms"], lambda f: F.concat_ws(" ", f["action"], f["method"], f["has_password"].cast("string"))), "; "), [(_LINKED, "/in post true"), ("<form></form><input type=password>", " get false")]),
+    "fn_smuggling": (lambda c: F.array_join(M.smuggling(_seen(c)["scripts"]), ", "), [("<script>EVAL(atob('QQ'))</script>", "base64 decoding (atob), eval()"), ("<script>x='" + "A" * 800 + "'</script>", "large embedded base64 blob"), ("eval(", "")]),
+    "fn_raw_links": (_raw, [("<a href='hxxp://a[.]net/'>x</a><a href='mailto:q@r.net'>m</a><img src='//c.net'> www.b.net.", "body-text http://www.z.org ; html-href http://a.net/ x; html-text http://www.b.net "), (None, "body-text http://www.z.org "), ("<form action='http://[::1]/'>", "body-text http://www.z.org ; html-form-action http://[::1]/ ")]),
+    "fn_unwrap_layers": (_layers, [(_WRAPPED, "body-text via Microsoft Safe Links|https://www.google.com/url?q=https%3A%2F%2Fa.net%2Fx|t|https://a.net/x redirect target (Google redirect)|https://a.net/x||"), ("https://a.net/", "body-text|https://a.net/|t|")]),
+    "fn_script_link": (lambda c: c.rlike(L.SCRIPTED), [("javascript:go()", True), ("JavaScript: void( 0 )", False), ("javascript:;", False), (" data: text/html,x", True), ("data:image/png,x", False)]),
     "fn_csv_safe": (T.csv_safe, [("=1+1", "'=1+1"), ("-x", "'-x"), ("x=1", "x=1")]),
 }
 
@@ -82,3 +105,18 @@ def _add(name: str, function: Callable[[Column], Column], cases: list[tuple[str
 
 for _name, (_function, _cases) in CASES.items():
     _add(_name, _function, _cases)
+
+
+def page_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every page's markup loads, links to and asks for."""
+    pages = table(spark, sf_dir, "pages").select("page_id", M.read_markup(F.coalesce("html", F.lit(""))).alias("m"))
+    return pages.select(
+        "page_id", F.array_join(F.transform("m.anchors", lambda a: a["href"]), " ").alias("hrefs"), F.size("m.anchors").cast("long").alias("n_anchors"),
+        F.array_join("m.resources", " ").alias("resources"), F.size("m.forms").cast("long").alias("n_forms"),
+    )
+
+
+QUERIES["page_markup"] = page_markup
+ORACLE_SQL["page_markup"] = r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '(<(script|style)\b[^>]*>).*?</(script|style)\s*>', '\1', 'gsi') AS h FROM pages),
+  t AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(h, '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''> ]*)', 1), lambda x: trim(x)), lambda x: x <> '') AS a, regexp_extract_all(h, '(?i)<[a-z][^>]*?\s(?:src|background|data-href|poster)\s*=\s*["'']?([^"''> ]*)', 1) AS r, len(regexp_extract_all(h, '(?i)<form\b')) AS n_forms FROM p)
+  SELECT page_id, array_to_string(a, ' ') AS hrefs, len(a) AS n_anchors, array_to_string(r, ' ') AS resources, n_forms FROM t"""

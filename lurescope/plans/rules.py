@@ -114,6 +114,7 @@ CASES: dict[str, list[tuple[dict, str]]] = {
         ({"filename": "x.pdf", "true_type": "pdf", "pdf": ["javascript", "embedded-file", "submit-form"]}, "52medium 53medium 54medium"),
         ({"filename": "x.rtf", "true_type": "rtf", "rtf": ["ole-object", "class-equation.3"]}, "55high 59medium"),
         ({"filename": "x.rtf", "true_type": "rtf", "rtf": ["ole-object", "class-package", "remote-template"]}, "57high 58high"),
+        ({"filename": "x.rtf", "true_type": "rtf", "rtf": ["class-htmlfile", "class-equationless"]}, "56high"),
         ({"filename": "n.one", "true_type": "onenote", "members": 1, "risky_child": True}, "36high 60high"),
         ({"filename": "p.svg", "true_type": "svg", "scripts": True}, "36high 61high"),
         ({"filename": "f.html", "true_type": "html", "password_form": True, "smuggling": 2, "redirect": "https://e.top"}, "36high 62high 63high 64medium"),

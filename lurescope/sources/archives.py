@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lurescope.runtime import ship
+from lurescope.sources.markup import page_features
 
 #: Nesting, members of an archive, files of a message, bytes of a member, and bytes unpacked at most.
 DEPTH, MEMBERS, FILES, MEMBER_BYTES, UNPACKED_BYTES = 3, 200, 400, 25 << 20, 256 << 20
@@ -132,6 +133,9 @@ def rtf_features(data: bytes) -> list[str]:
     return sorted(found)
 
 
+_FEATURES = {"pdf": pdf_features, "rtf": rtf_features, "html": page_features, "svg": page_features}
+
+
 def opened(name: str, data: bytes) -> Iterator[dict]:
     """A row for the file and for each file inside it; parent_no is null for the file itself."""
     waiting, number, unpacked = [(name, data, None, 0)], 0, 0
@@ -140,8 +144,8 @@ def opened(name: str, data: bytes) -> Iterator[dict]:
         kind = sniff(body) if body is not None else ""
         row = {"file_no": number, "parent_no": parent, "filename": name, "size": None if body is None else len(body), "sha256": None if body is None else hashlib.sha256(body).hexdigest(), "true_type": kind, "kind": "", "encrypted": False, "features": [], "error": None}
         try:
-            if kind in ("pdf", "rtf"):
-                row["features"] = (pdf_features if kind == "pdf" else rtf_features)(body)
+            if kind in _FEATURES or re.search(r"(?i)\.(?:html?|shtml|xhtml|svg)$", name):
+                row["features"] = _FEATURES.get(kind, page_features)(body or b"")
             if kind in ("zip", "tar", "gzip"):
                 row["features"] = office_features(body) if kind == "zip" else []
                 row["kind"] = {"zip": "ZIP file", "tar": "tar archive", "gzip": "gzip file"}[kind]

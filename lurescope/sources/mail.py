@@ -76,6 +76,11 @@ def header_text(message: email.message.EmailMessage, name: str, value: object) -
     return " ".join(raw.split())
 
 
+def attached(part: email.message.EmailMessage) -> bool:
+    """Whether a part is a file; nameless text and HTML are the message's body."""
+    return part.get_content_type() not in ("text/plain", "text/html") or bool(part.get_filename())
+
+
 def parse_message(raw: bytes) -> dict:
     message = email.message_from_bytes(raw, policy=email.policy.default)
     body = {"plain": None, "html": None}
@@ -84,7 +89,7 @@ def parse_message(raw: bytes) -> dict:
         if part.is_multipart():
             continue
         name = part.get_filename()
-        if part.get_content_type() in ("text/plain", "text/html") and not name:
+        if not attached(part):
             kind = part.get_content_subtype()
             body[kind] = (body[kind] or "") + str(part.get_content())
         else:
@@ -96,6 +101,35 @@ def parse_message(raw: bytes) -> dict:
     return {"subject": header("Subject"), "from_address": address("From"), "to_address": address("To"), "reply_to": address("Reply-To"), "date_raw": header("Date"), "message_id": header("Message-ID"), "text": body["plain"], "html": body["html"], "attachments": files, "return_path": address("Return-Path"), "headers": headers}
 
 
+def read_attachments(files: DataFrame) -> DataFrame:
+    """msg_id, part_no, filename, content_type, content of what ``parse_message`` lists as attachments, for ``archives.expand``.
+
+    Messages that can't be parsed have none; ``parse_mail`` has a row with the error.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = _parse_datatype_string("msg_id string, part_no int, filename string, content_type string, content binary")
+    arrow = to_arrow_schema(schema)
+
+    def held(raw: bytes) -> Iterator[dict]:
+        try:
+            parts = [p for p in email.message_from_bytes(raw, policy=email.policy.default).walk() if not p.is_multipart() and attached(p)]
+            for number, part in enumerate(parts):
+                yield {"msg_id": hashlib.sha256(raw).hexdigest(), "part_no": number, "filename": part.get_filename(), "content_type": part.get_content_type(), "content": part.get_payload(decode=True) or b""}
+        except Exception:  # as in parse_mail
+            return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw = batch.column(0)[i].as_py()
+                yield pa.RecordBatch.from_pylist([] if raw is None else list(held(raw)), schema=arrow)
+
+    ship(files.sparkSession)
+    return files.select("content").mapInArrow(run, schema)
+
+
 def parse_mail(files: DataFrame) -> DataFrame:
     """One row for each message of ``read_mail``; a message that can't be parsed is a row with an error."""
     from pyspark.sql.pandas.types import to_arrow_schema
