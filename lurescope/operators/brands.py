@@ -215,6 +215,71 @@ def brand_signals(messages: DataFrame, brands: DataFrame, key: str = "msg_id") -
     return rows.select(key, F.explode(found).alias("s")).select(key, "s.*")
 
 
+def disguised_words(messages: DataFrame, brands: DataFrame, key: str = "msg_id") -> DataFrame:
+    """key, rule (8), severity, brand, place, word: the first word of a subject and of a display name that spells a brand with a
+    capital I for l, digits for letters, or both. messages: key, subject, display, from_base; senders at a brand's domain are excused.
+    """
+    known = _listed(brands)
+    long = [b for b, _, _ in known if len(b) >= 5]
+    own = sorted({d for _, domains, _ in known for d in domains})
+    digits = {k: v for k, v in READ_AS.items() if k.isdigit() and k != "9"}
+    bare = lambda w: F.lower(F.translate(w, "I", "l"))
+    lettered = lambda w: F.translate(w, "".join(digits), "".join(digits.values()))
+
+    def spelt(word: Column) -> Column:
+        low = F.lower(word)
+        read = F.filter(F.array(bare(word), lettered(low), lettered(bare(word))), lambda c: (c != low) & c.isin(*long))
+        return F.when(~low.isin(*[b for b, _, _ in known]), F.struct(F.get(read, F.lit(0)).alias("brand"), word.alias("word")))
+
+    def first(place: str, column: str) -> Column:
+        words = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r"([A-Za-z0-9]{4,24})"), F.lit(1))
+        hit = F.get(F.filter(F.transform(words, spelt), lambda s: s["brand"].isNotNull()), F.lit(0))
+        return F.when(hit.isNotNull(), F.struct(hit["brand"].alias("brand"), F.lit(place).alias("place"), hit["word"].alias("word")))
+
+    rows = messages if not own else messages.where(~F.coalesce(F.col("from_base"), F.lit("")).isin(*own))
+    rows = rows.select(key, F.explode(F.array_compact(F.array(first("subject", "subject"), first("display name", "display")))).alias("s"))
+    return rows.select(key, F.lit(8).alias("rule"), F.lit("high").alias("severity"), "s.*")
+
+
+def strong_subdomain(host: Column, target: Column) -> Column:
+    """Whether a brand's name left of a domain is no coincidence: its whole domain, or an abused domain, free hosting or a credential word."""
+    base = T.registrable_domain(host)
+    label = T.domain_label(base)
+    long, short = (f"{'|'.join(w for w in K.CREDENTIAL_WORDS if (len(w) >= 5) == whole)}" for whole in (True, False))
+    worded = label.rlike(f"{long}|(?<![a-z0-9])(?:{short})(?![a-z0-9])")
+    return F.contains(F.left(host, F.length(host) - F.length(base)), target) | T.tld(base).isin(*K.SUSPICIOUS_TLDS) | (T.hosting_kind(F.concat(F.lit("https://"), host, F.lit("/"))) != "") | worded
+
+
+#: Where a message names a host, in the order in which a lookalike is reported.
+PLACES = ("sender", "reply-to", "return-path", "url")
+
+
+def lookalike_signals(named: DataFrame, brands: DataFrame, words: list[str], protected: tuple[str, ...] = (), allowed: tuple[str, ...] = ()) -> DataFrame:
+    """msg_id, rule (23), severity, family, place, host, target, method: lookalikes among the hosts that messages name.
+
+    named: msg_id, host, place (of ``PLACES``). A target is reported once for a domain of a message, at its first place and
+    least host. Each distinct host is judged once, however many messages name it; ``allowed`` domains never are.
+    """
+    bare = F.regexp_replace(F.lower("host"), r"^\.+|\.+$", "")
+    rank = F.array_position(F.array(*map(F.lit, PLACES)), F.col("place"))
+    rows = named.select("msg_id", bare.alias("host"), rank.alias("rank")).where("host <> ''").groupBy("msg_id", "host").agg(F.min("rank").alias("rank"))
+    rows = rows.withColumn("base", T.registrable_domain(F.col("host")))
+    rows = rows.where(~F.col("base").isin(*allowed)) if allowed else rows
+    found = rows.join(lookalike_domains(rows.select("host"), brands, words, protected), "host")
+    best = F.min(F.struct("rank", "host", "method"))
+    found = found.groupBy("msg_id", "base", "target").agg(best.alias("b")).select("msg_id", "base", "target", "b.*")
+    own = F.col("target").isin(*protected) if protected else F.lit(False)
+    word_only = [name for name, _, token_only in _listed(brands) if token_only]
+    ordinary = (T.domain_label(F.col("target")).isin(*word_only) if word_only else F.lit(False)) & ~own & ~T.tld(F.col("base")).isin(*K.SUSPICIOUS_TLDS)
+    level = (
+        F.when(F.col("method") == "tld-swap", F.when(ordinary, "low").otherwise("medium"))
+        .when(F.col("method") == "subdomain", F.when(strong_subdomain(F.col("host"), F.col("target")), "high").otherwise("low"))
+        .when(F.col("method").isin("homoglyph", "typosquat") | own, "high").otherwise("medium")
+    )
+    place = F.element_at(F.array(*map(F.lit, PLACES)), F.col("rank").cast("int"))
+    return found.select("msg_id", F.lit(23).alias("rule"), level.alias("severity"), F.when(place == "url", "link").otherwise("sender").alias("family"), place.alias("place"), "host", "target", "method")
+
+
 def read_suffixes(lines: DataFrame) -> DataFrame:
     """suffix, kind (rule, wildcard, exception) of a public suffix list's lines. lines: value."""
     bare = F.lower(F.regexp_extract("value", r"^\s*(\S+)", 1))

@@ -64,6 +64,42 @@ QUERIES["brand_claims"] = brand_claims
 ORACLE_SQL["brand_claims"] = f"SELECT page_id AS msg_id, rule, severity, brand FROM pages JOIN (VALUES {', '.join(str((i, int(e.split()[0]), *e.split()[1:])) for i, (_, e) in enumerate(CLAIMS) if e)}) AS e(i, rule, severity, brand) ON page_id % {len(CLAIMS)} = i"
 
 
+#: Subject, display name, sender's domain, and the disguised words as place, word, brand.
+DISGUISED = [
+    (("Your C0ntoso plan", "", "evil.top"), "subject C0ntoso contoso"), (("Contoso plan", "contoso", "evil.top"), ""), (("hi", "N0RTHWIND", "evil.top"), "display name N0RTHWIND northwind"),
+    (("contos0 contos0", "C0ntos0", "a.net"), "subject contos0 contoso; display name C0ntos0 contoso"), (("C0ntoso", "", "contoso.com"), ""), (("4cme", "", "evil.top"), ""), (("Contos9", "", "evil.top"), ""), ((None, "x", None), ""),
+]
+#: Sender's host, host of a link, and the signals as severity, family, place, target, method.
+NAMED = [
+    ("northwind.net", "plain.org", "medium sender sender northwind.com tld-swap"), ("plain.org", "acme.org", "low link url acme.com tld-swap"), ("a.n0rthwind.com", "b.n0rthwind.com", "high sender sender northwind.com homoglyph"),
+    ("plain.org", "northwind-login.com", "medium link url northwind.com combosquat"), ("plain.org", "ourfirm-billing.com", "high link url ourfirm.co.uk combosquat"), ("northwind.evil.net", "plain.org", "low sender sender northwind.com subdomain"),
+    ("plain.org", "northwind.com.evil.net", "high link url northwind.com subdomain"), ("plain.org", "northwind.evil.top", "high link url northwind.com subdomain"), ("plain.org", "northwind.my-login.net", "high link url northwind.com subdomain"),
+    ("nothwind.com", "nothwind.com", "high sender sender northwind.com typosquat"), ("norhtwind.com", "partner.net", "high sender sender northwind.com typosquat"), ("plain.org", "8.8.8.8", ""),
+]
+
+
+def disguised_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = spark.createDataFrame([(i, *f) for i, (f, _) in enumerate(DISGUISED)], "case_no long, subject string, display string, from_base string")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("msg_id"), (F.col("page_id") % len(DISGUISED)).alias("case_no"))
+    return B.disguised_words(pages.join(F.broadcast(facts), "case_no"), _dimension(spark))  # a few rows
+
+
+QUERIES["disguised_brands"] = disguised_brands
+_DISGUISES = ", ".join(str((i, "display name" if one.startswith("d") else "subject", *one.split()[-2:])) for i, (_, e) in enumerate(DISGUISED) for one in e.split("; ") if one)
+ORACLE_SQL["disguised_brands"] = f"SELECT page_id AS msg_id, 8 AS rule, 'high' AS severity, brand, place, word FROM pages JOIN (VALUES {_DISGUISES}) AS e(i, place, word, brand) ON page_id % {len(DISGUISED)} = i"
+
+
+def lookalike_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = spark.createDataFrame([(i, *hosts) for i, (*hosts, _) in enumerate(NAMED)], "case_no long, sender string, url string")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("msg_id"), (F.col("page_id") % len(NAMED)).alias("case_no"))
+    named = pages.join(F.broadcast(facts), "case_no").unpivot("msg_id", ["sender", "url"], "place", "host")  # a dozen rows
+    return B.lookalike_signals(named, _dimension(spark), WORDS, PROTECTED, ("partner.net",)).select("msg_id", "severity", "family", "place", "target", "method")
+
+
+QUERIES["lookalike_signals"] = lookalike_signals
+ORACLE_SQL["lookalike_signals"] = f"SELECT page_id AS msg_id, severity, family, place, target, method FROM pages JOIN (VALUES {', '.join(str((i, *e.split())) for i, (_, _, e) in enumerate(NAMED) if e)}) AS e(i, severity, family, place, target, method) ON page_id % {len(NAMED)} = i"
+
+
 def public_suffix_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.createDataFrame([(x,) for x in ("// a list", "top", "com", "uk", "co.uk", "net", "*.zip")], "value string")
     return B.by_public_suffix(messages(spark, sf_dir).select("host"), B.read_suffixes(lines))
