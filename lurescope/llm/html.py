@@ -10,10 +10,18 @@ equal substrings together. A substring on two distinct pages is repeated, one on
 of the host's is site-wide. Of candidates that markup doesn't vouch for, those covered mostly by repeated substrings go;
 of those in a main part, where articles may quote each other, those covered mostly by site-wide ones. The rest stays.
 
-A host's pages are dealt to units of about SHARD_PAGES pages by a hash of their streams, so that a large host is many
-units. Each unit has an array of its own. What it counts is final for hosts that are in it as a whole; for others, counts
-are summed over units and the answers go back to the units that asked. Equal streams meet in one unit and count as one
-page, so that copies don't make each other boilerplate.
+Equal streams of a host count as one page, so that copies don't make each other boilerplate.
+
+A host's pages are dealt to units of about SHARD_PAGES pages by a hash of their streams, and a unit of more than UNIT_CHARS
+characters is cut, so that a large host is many units. Each unit has an array of its own. What it counts is final for hosts
+that are in it as a whole; for others, counts are summed over units. Texts don't depend on how pages are dealt:
+
+- Equal streams meet in one unit, and where that is cut, the first of its units counts them.
+- Runs of a host's pages without a main part set places in a filter of FILTER bits. All units tell the counts of runs
+  that may be in it.
+- Of other runs only site-wide ones matter. Each unit tells its runs on half of SITE_SHARE of its own pages; a run that is
+  site-wide is told by one unit at least. With the most that the other units can have untold, nearly all of these runs are
+  decided; what is still open is looked up in those units.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ import pickle
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -29,17 +38,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurescope.functions.text import raw_host
-from lurescope.llm.textops import map_rows, windows
+from lurescope.llm.textops import WordHashes, map_rows, windows
 from lurescope.runtime import small, staged
 
 #: Tokens of a substring that counts as repeated; pages of a unit, and characters after which it is cut in two.
 DEPTH, SHARD_PAGES, UNIT_CHARS = 8, 2000, 32 << 20
 #: Pages, and share of a host's pages, that a site-wide substring is on at least.
 SITE_PAGES, SITE_SHARE = 20, 0.9
+#: Bits of a host's filter; where more than half are set, the filter holds everything. This bounds work, not results.
+FILTER = 1 << 18
 
 #: Elements whose content is not text; UNCLOSED ones take the rest of the page where they aren't closed.
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video title textarea".split())
@@ -172,15 +183,59 @@ def candidates(html: str | None) -> tuple[bool, list[str]]:
     return main, [text for where, text in found if where == (MAIN if main else OUTSIDE)]
 
 
+def identity(page: tuple[int, int, bool, list[str]]) -> int:
+    """The same number for pages of a host with equal streams."""
+    return xxhash.xxh3_64_intdigest(repr(page[:3]).encode()) - (1 << 63)
+
+
+def stream(blocks: list[str]) -> list[bytes]:
+    """Of each block, a mark and its tokens, with spaces between."""
+    return [f"\x1e {b}".encode("utf-8", "surrogatepass") for b in blocks]
+
+
+def salted(tokens: np.ndarray, hosts: np.ndarray) -> np.ndarray:
+    """Token codes that differ between hosts."""
+    with np.errstate(over="ignore"):
+        return tokens * np.uint64(0x9E3779B97F4A7C15) + hosts
+
+
+def filters(pages: list[tuple[int, int, bool, list[str]]], depth: int = DEPTH) -> Iterator[dict]:
+    """The words of 64 bits that runs of the pages set in their hosts' filters."""
+    hashes = WordHashes()
+    for host, found in groupby(sorted(pages, key=lambda p: p[0]), lambda p: p[0]):
+        bits = np.zeros(FILTER, bool)
+        for _, _, _, blocks in found:
+            tokens = hashes.of([t for b in stream(blocks) for t in b.split(b" ")])
+            bits[windows(salted(tokens, np.array([host]).view(np.uint64)), depth) % np.uint64(FILTER)] = True
+        words = np.packbits(bits, bitorder="little").view(np.int64)
+        for slot in np.flatnonzero(words).tolist():
+            yield {"host": host, "slot": slot, "bits": int(words[slot])}
+
+
+def press_filter(slots: list[int], bits: list[int]) -> bytes:
+    """A filter of such words; empty if it holds everything."""
+    words = np.zeros(FILTER // 64, np.int64)
+    words[slots] = bits
+    return b"" if 2 * np.unpackbits(words.view(np.uint8)).sum() > FILTER else zstandard.compress(words.tobytes())
+
+
+def may_hold(pressed: bytes, codes: np.ndarray) -> np.ndarray:
+    """Which runs may be in a filter."""
+    if not pressed:
+        return np.ones(len(codes), bool)
+    bits = np.unpackbits(np.frombuffer(zstandard.decompress(pressed), np.uint8), bitorder="little")
+    return bits[codes.view(np.uint64) % np.uint64(FILTER)] > 0
+
+
 class Unit:
     """The suffix array over the streams of a unit's pages, (host code, page code, main, blocks) each.
 
     ``starts`` are the places of the runs of ``depth`` tokens in the order of the array, ``group`` numbers equal ones;
     ``on`` has the distinct pages of each group, ``code`` its hash, ``host`` the number of its host, and ``open`` whether a
-    page without a main part has it.
+    page without a main part has it. Pages that ``again`` has the identity of are left out of ``on`` and ``totals``.
     """
 
-    def __init__(self, pages: list[tuple[int, int, bool, list[str]]], depth: int = DEPTH) -> None:
+    def __init__(self, pages: list[tuple[int, int, bool, list[str]]], depth: int = DEPTH, again: frozenset[int] = frozenset()) -> None:
         self.depth, self.number = depth, {}
         kept = []
         for page in pages:
@@ -188,10 +243,11 @@ class Unit:
                 self.number[page[:3]] = len(kept)
                 kept.append(page)
         self.hosts, host = np.unique(np.array([p[0] for p in kept], np.int64), return_inverse=True)
-        self.totals = np.bincount(host, minlength=len(self.hosts))  # distinct pages of each host
+        counts_here = np.array([not again or identity(p) not in again for p in kept], bool)
+        self.totals = np.bincount(host[counts_here], minlength=len(self.hosts))  # distinct pages of each host
         self.main = np.array([p[2] for p in kept], bool)
         # A block is a mark and its tokens. A token's number is its place among the distinct ones, its code a hash of it.
-        texts = pa.array([f"\x1e {b}".encode("utf-8", "surrogatepass") for p in kept for b in p[3]], pa.binary()).cast(pa.large_binary())
+        texts = pa.array([b for p in kept for b in stream(p[3])], pa.binary()).cast(pa.large_binary())
         found = pc.split_pattern(texts, pattern=b" ")
         self.sizes = np.diff(found.offsets.to_numpy())
         of_page = np.repeat(np.arange(len(kept)), [len(p[3]) for p in kept])
@@ -202,8 +258,7 @@ class Unit:
         tokens = codes[numbers] if len(numbers) else np.empty(0, np.uint64)
         self.page = np.repeat(np.arange(len(kept)), counts)  # of each token
         self.blocks = np.concatenate(([0], np.cumsum(np.bincount(of_page, minlength=len(kept)))))  # of each page
-        with np.errstate(over="ignore"):
-            salted = tokens * np.uint64(0x9E3779B97F4A7C15) + self.hosts.view(np.uint64)[host[self.page]]
+        own = salted(tokens, self.hosts.view(np.uint64)[host[self.page]])
         ends = np.cumsum(counts)
         whole = np.arange(len(tokens)) + depth <= ends[self.page]
         rank = pd.factorize(numbers * np.int64(max(len(self.hosts), 1)) + host[self.page])[0]
@@ -221,11 +276,11 @@ class Unit:
         heads = np.flatnonzero(first)
         owner = self.page[self.starts]
         # Places of a group are in page order, as the sort is stable.
-        fresh = first | (np.diff(owner, prepend=-1) != 0)
+        fresh = (first | (np.diff(owner, prepend=-1) != 0)) & counts_here[owner]
         self.on = np.add.reduceat(fresh.astype(np.int64), heads) if len(heads) else np.empty(0, np.int64)
         self.open = np.logical_or.reduceat(~self.main[owner], heads) if len(heads) else np.empty(0, bool)
         self.host = host[owner[heads]]
-        self.code = windows(salted, depth).view(np.int64)[self.starts[heads]] if len(heads) else np.empty(0, np.int64)
+        self.code = windows(own, depth).view(np.int64)[self.starts[heads]] if len(heads) else np.empty(0, np.int64)
 
     def levels(self) -> np.ndarray:
         """Of each group, by this unit's pages alone: 0, 1 for repeated or 2 for site-wide."""
@@ -292,11 +347,18 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     dealt = parsed.repartition(parts, "shard").sortWithinPartitions("shard", F.xxhash64("body"))
 
     def pack(rows: Iterator[dict]) -> Iterator[dict]:
-        """Units of a shard's parts: number, body, and whether the unit's hosts are in other ones, too."""
+        """Units of a shard's parts: number, hosts that are in other units, too, whether a page of them has no main part, pages, body."""
         press, now, held, size, cut = zstandard.ZstdCompressor(level=9), None, [], 0, 0
 
         def unit(split: bool) -> dict:
-            return {"unit": (now << 16) + cut, "split": split, "body": press.compress(pickle.dumps(held, 5))}
+            wide = [r[0] for r in held if r[3] or split]
+            return {
+                "unit": (now << 16) + cut,
+                "hosts": list({p[0] for p in wide}),
+                "open": not all(p[2] for p in wide),
+                "pages": list({identity(p) for p in wide}) if split else [],
+                "body": press.compress(pickle.dumps(held, 5)),
+            }
 
         for row in rows:
             same = row["shard"] == now
@@ -310,31 +372,77 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         if held:
             yield unit(cut > 0)
 
-    units = staged(map_rows(dealt, "unit long, split boolean, body binary", pack, 1), "units")
+    units = staged(map_rows(dealt, "unit long, hosts array<long>, open boolean, pages array<long>, body binary", pack, 1), "units")
+    wide = units.select("unit", F.explode("hosts").alias("host"))
+
+    def tell(rows: Iterator[dict]) -> Iterator[dict]:
+        for row in rows:
+            wide = set(row["hosts"])
+            yield from filters([r[0] for r in pickle.loads(zstandard.decompress(row["body"])) if r[0][0] in wide and not r[0][2]], depth)
+
+    words = map_rows(units.where("open").select("hosts", "body"), "host long, slot int, bits long", tell, 50_000)
+    words = words.groupBy("host", "slot").agg(F.bit_or("bits").alias("bits")).groupBy("host").agg(F.collect_list(F.struct("slot", "bits")).alias("words"))
+    words = words.select("host", F.col("words.slot").alias("slots"), F.col("words.bits").alias("bits"))
+    mixed = map_rows(words, "host long, filter binary", lambda rows: ({"host": r["host"], "filter": press_filter(r["slots"], r["bits"])} for r in rows), 500)
+    copies = units.select("unit", F.explode("pages").alias("page"))
+    first = copies.groupBy("page").agg(F.min("unit").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = copies.join(first, "page").where("unit <> first").groupBy("unit").agg(F.collect_list("page").alias("again"))
+    told = staged(wide.join(mixed, "host").groupBy("unit").agg(F.collect_list(F.struct("host", "filter")).alias("filters")).join(again, "unit", "full"), "told")
+    units = units.select("unit", "hosts", "body")
+    shared = units.where(F.size("hosts") > 0).join(told, "unit", "left")
 
     def opened(row: dict, only: bool = False) -> tuple[list, Unit, np.ndarray]:
         """The unit's rows, its array, and which of its hosts are in other units, too; ``only`` leaves out the others."""
-        rows = pickle.loads(zstandard.decompress(row["body"]))
-        wide = {r[0][0] for r in rows if r[3] or row["split"]}
-        made = Unit([r[0] for r in rows if not only or r[0][0] in wide], depth)
+        rows, wide = pickle.loads(zstandard.decompress(row["body"])), set(row["hosts"])
+        made = Unit([r[0] for r in rows if not only or r[0][0] in wide], depth, frozenset(row.get("again") or ()))
         return rows, made, np.array([h in wide for h in made.hosts.tolist()], bool)
 
     def ask(rows: Iterator[dict]) -> Iterator[dict]:
+        """Counts of hosts (run is null) and runs; ``rest`` is the most that this unit can have of a run that it doesn't tell.
+
+        A run that may be in its host's filter is ``exact``: every unit that has it tells it.
+        """
+        for row in rows:
+            _, made, _ = opened(row, True)
+            least = np.maximum(np.ceil(SITE_SHARE / 2 * made.totals), 1).astype(np.int64)
+            exact = np.zeros(len(made.code), bool)
+            filter_of = {f["host"]: f["filter"] for f in row["filters"] or ()}
+            by_host = np.argsort(made.host, kind="stable")
+            for own in np.split(by_host, np.flatnonzero(np.diff(made.host[by_host])) + 1):
+                if len(own) and (pressed := filter_of.get(int(made.hosts[made.host[own[0]]]))) is not None:
+                    exact[own] = may_hold(pressed, made.code[own])
+            for h, host in enumerate(made.hosts.tolist()):
+                yield {"unit": row["unit"], "host": host, "run": None, "n": int(made.totals[h]), "rest": int(least[h]) - 1, "open": False, "exact": False}
+            for g in np.flatnonzero(np.where(exact, made.open | (made.on > 0), made.on >= least[made.host])).tolist():
+                h = made.host[g]
+                yield {"unit": row["unit"], "host": int(made.hosts[h]), "run": int(made.code[g]), "n": int(made.on[g]), "rest": int(least[h]) - 1, "open": bool(made.open[g]), "exact": bool(exact[g])}
+
+    def site(n: Column) -> Column:
+        return (n >= SITE_PAGES) & (n >= SITE_SHARE * F.col("total"))
+
+    asked = staged(map_rows(shared, "unit long, host long, run long, n long, rest long, open boolean, exact boolean", ask, 50_000), "asked")
+    totals = asked.where("run IS NULL").groupBy("host").agg(F.sum("n").alias("total"), F.sum("rest").alias("rests"))
+    runs = asked.where("run IS NOT NULL").groupBy("host", "run").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"), F.max("open").alias("open"), F.max("exact").alias("exact"))
+    most = F.col("n") + F.col("rests") - F.col("rest")
+    sure = F.when(site(F.col("n")), True).when(~F.col("exact") & site(most), False)  # null: it isn't site-wide
+    counted = runs.where("n > 1").join(totals, "host").select("host", "run", "n", "total", sure.alias("sure"), "open")
+    counted = staged(counted.where("open OR sure IS NOT NULL"), "counted")
+    sought = wide.join(counted.where("NOT sure").select("host", "run"), "host").join(asked.select("unit", "host", "run"), ["unit", "host", "run"], "left_anti")
+    sought = staged(sought.groupBy("unit").agg(F.collect_list("run").alias("runs")), "sought")
+
+    def look(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:
-            _, made, wide = opened(row, True)
-            for h in np.flatnonzero(wide).tolist():
-                yield {"unit": row["unit"], "host": int(made.hosts[h]), "run": None, "n": int(made.totals[h])}
-            # What isn't on half the share here is site-wide nowhere, unless its pages are dealt quite unevenly.
-            asks = wide[made.host] & (made.open | (made.on >= SITE_SHARE / 2 * made.totals[made.host]))
-            for g in np.flatnonzero(asks).tolist():
-                yield {"unit": row["unit"], "host": int(made.hosts[made.host[g]]), "run": int(made.code[g]), "n": int(made.on[g])}
-
-    asked = staged(map_rows(units, "unit long, host long, run long, n long", ask, 50_000), "asked")
-    totals = asked.where("run IS NULL").groupBy("host").agg(F.sum("n").alias("total"))
-    counted = asked.where("run IS NOT NULL").groupBy("host", "run").agg(F.sum("n").alias("n")).where("n > 1").join(totals, "host")
-    site = (F.col("n") >= SITE_PAGES) & (F.col("n") >= SITE_SHARE * F.col("total"))
-    levels = counted.select("host", "run", F.when(site, 2).otherwise(1).alias("level"))
-    answers = asked.join(levels, ["host", "run"]).groupBy("unit").agg(*[F.collect_list(F.when(F.col("level") == n, F.col("run"))).alias(f"level{n}") for n in (1, 2)])
+            _, made, _ = opened(row, True)
+            for g in np.flatnonzero(np.isin(made.code, np.array(row["runs"], np.int64))).tolist():
+                yield {"host": int(made.hosts[made.host[g]]), "run": int(made.code[g]), "more": int(made.on[g])}
+
+    more = map_rows(shared.join(sought, "unit"), "host long, run long, more long", look, 50_000).groupBy("host", "run").agg(F.sum("more").alias("more"))
+    summed = counted.join(more, ["host", "run"], "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0)))
+    levels = staged(summed.select("host", "run", F.when(site(F.col("n")), 2).otherwise(1).alias("level")), "levels")
+    open_runs = asked.where("open").select("unit", "host", "run").join(levels, ["host", "run"]).select("unit", "run", "level")
+    site_runs = wide.join(levels.where("level = 2"), "host").select("unit", "run", "level")
+    answers = open_runs.union(site_runs).groupBy("unit").agg(*[F.collect_set(F.when(F.col("level") == n, F.col("run"))).alias(f"level{n}") for n in (1, 2)])
+    answers = staged(answers, "answers")
 
     def finish(rows: Iterator[dict]) -> Iterator[dict]:
         for row in rows:

@@ -338,6 +338,42 @@ def test_suffix_array_judges_blocks_in_and_outside_articles(spark, monkeypatch,
     assert html.main_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("unit", "chars"), [(2000, 32 << 20), (5, 32 << 20), (60, 1500), (5, 700)])
+def test_texts_do_not_depend_on_how_pages_are_dealt(spark, monkeypatch, unit, chars):
+    """Whole texts against brute force, with hosts in one unit, in many small ones, and in units that are cut."""
+    monkeypatch.setattr(html, "SHARD_PAGES", unit)
+    monkeypatch.setattr(html, "UNIT_CHARS", chars)
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randint(0, 3000)}" for _ in range(n))
+    sites, once, copied = [words(12) for _ in range(6)], words(12), [words(40)]
+    pages = []
+    for key in range(120):  # articles with site-wide blocks, some on just as many pages as it takes or on one less
+        ends = [s for i, s in enumerate(sites) if key % 40 >= i + 1 or key >= 80 and i < 3]
+        pages.append((key, 0, True, [words(rng.randint(5, 30)), *ends]))
+    for key in range(200, 260):  # articles, one of which shares a block with the host's only page without a main part
+        pages.append((key, 1, key != 230, [words(rng.randint(5, 30)), *[once] * (key in (230, 250))]))
+    for key in range(300, 340):  # copies of one page, and others without a main part
+        pages.append((key, 2, False, copied if key % 2 else [words(rng.randint(5, 30))]))
+    page = lambda main, blocks: "<body>" + ("<article>" if main else "<div>") + "".join(f"<p>{b}</p>" for b in blocks) + "</body>"
+    frame = spark.createDataFrame([(k, f"https://h{h}.net/{k}", page(m, b)) for k, h, m, b in pages], "page_id long, url string, html string").repartition(8)
+    found = {r.page_id: r.text for r in html.main_text(frame).collect()}
+    assert found == _brute_texts(pages)
+    assert once not in found[230] and once in found[250] and found[301] == found[303] == copied[0]
+
+
+def test_filters_hold_the_runs_of_their_host():
+    texts = [[" ".join(f"{a}{b}\u00e9{i}" for i in range(40)) for b in "xy"] for a in "pqr"]
+    pages = [(-5, 1, False, texts[0]), (7, 2, False, texts[1]), (-5, 3, False, texts[2]), (9, 4, False, []), (11, 5, False, texts[0])]
+    words = list(html.filters(pages))
+    made = html.Unit(pages)
+    assert {w["host"] for w in words} == {-5, 7, 11} and made.hosts.tolist() == [-5, 7, 9, 11]
+    for host in (-5, 7, 11):
+        own = [w for w in words if w["host"] == host]
+        held = html.may_hold(html.press_filter([w["slot"] for w in own], [w["bits"] for w in own]), made.code)
+        assert held[made.hosts[made.host] == host].all() and held.sum() <= (made.hosts[made.host] == host).sum() + 5
+    assert html.press_filter(list(range(html.FILTER // 64)), [-1] * (html.FILTER // 64)) == b"" and html.may_hold(b"", made.code).all()
+
+
 def test_html_odd_markup():
     text = lambda body: "|".join(html.candidates(body)[1])
     assert text("<p>a</p><!--><p>shown</p><!-- x --!>y<!--->z") == "a|shown|y|z" or text("<p>a</p><!--><p>shown</p>") == "a|shown"
